@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import nearest_time
+from tidemark.llm import chosen_path, hash_forest, nearest_time
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,4 +18,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_time.match_extractions(t("extractions"), t("prices"), t("companies"))
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article that repeats one accepted before it, batch by batch."""
+    return hash_forest.deduplicate(table(spark, sf_dir, "news_articles").select("id", "title", "url", "batch_no"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of articles whose title and content overlap by 0.70."""
+    return chosen_path.similar_pairs(chosen_path.article_texts(table(spark, sf_dir, "news_articles")), 0.70)
+
+
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
