@@ -9,7 +9,7 @@ Records with the same words form a class and only its smallest id takes part, so
 the final expansion. A word that is frequent never ends a branch by itself, so no node grows with a hot word; what a node
 of near-copies still holds is a sort-merge join's run, which adaptive execution splits. Nothing is capped or dropped.
 
-Defined results: null texts count as empty, records without words resemble nothing, repeated rows of one id count once.
+Defined results: null texts count as empty, records without words resemble nothing. Ids must be unique.
 """
 
 from __future__ import annotations
@@ -118,36 +118,36 @@ def sketches(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes_of(reps: DataFrame, words: np.ndarray, shares: np.ndarray, records: int, threshold: float, trees: int, small: float) -> DataFrame:
-    """(node, id, n, s1, s2): the small nodes of every record of (id, n, least), with its sketch."""
+    """(node, id, s1, s2): the small nodes of every record of (id, least), with its sketch."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if not batch.num_rows:
                 continue
-            ids, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            least = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(ids), -1)
+            ids = np.asarray(batch.column(0))
+            least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), -1)
             s1, s2 = sketches(least)
             rows, node = paths(least, words, shares, records, threshold, trees, small)
-            columns = [node.view(np.int64), ids[rows], n[rows], s1[rows].view(np.int64), s2[rows].view(np.int64)]
+            columns = [node.view(np.int64), ids[rows], s1[rows].view(np.int64), s2[rows].view(np.int64)]
             for at in range(0, len(rows), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["node", "id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["node", "id", "s1", "s2"])
 
-    return reps.select("id", "n", "least").mapInArrow(batches, "node long, id long, n int, s1 long, s2 long")
+    return reps.select("id", "least").mapInArrow(batches, "node long, id long, s1 long, s2 long")
 
 
 def node_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, that meet in a node, fit in size and agree in enough of their sketch."""
+    """Distinct (a, b), a < b, that meet in a node and agree in enough of their sketch."""
     agree = threshold + (1 - threshold) / 4
     least_equal = FUNCTIONS * agree - SKETCH_SLACK * math.sqrt(FUNCTIONS * agree * (1 - agree))
     most_unequal = FUNCTIONS - math.floor(least_equal)
-    a = nodes.select("node", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = nodes.select(F.col("node").alias("node_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    a = nodes.select("node", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    b = nodes.select(F.col("node").alias("node_b"), F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
 
     def unequal(x: str, y: str) -> Column:
         differ = F.col(x).bitwiseXOR(F.col(y))
         return F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & (unequal("a1", "b1") + unequal("a2", "b2") <= most_unequal)
+    fits = unequal("a1", "b1") + unequal("a2", "b2") <= most_unequal
     return a.join(b.hint("merge"), (F.col("node") == F.col("node_b")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if pairs.count() <= BROADCAST_ROWS // 2:
         ids = F.broadcast(ids)
-    words = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", distinct_words(F.col("text")).alias("w"))
+    words = texts.join(ids, "id", "left_semi").select("id", distinct_words(F.col("text")).alias("w"))
     x, y = words.select(F.col("id").alias("a"), F.col("w").alias("wa")), words.select(F.col("id").alias("b"), F.col("w").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     joined = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("wa") + F.size("wb")).alias("total"))
@@ -174,8 +174,9 @@ def similar_classes(texts: DataFrame, threshold: float, trees: int = TREES, smal
     words, shares = frequent_words(prints, records)
     groups = docs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     shared = groups.where("copies > 1").select("h1", "h2", "rep")
-    copies = docs.select("id", "h1", "h2").join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep")
-    reps = docs.select("id", "n", "least").join(copies.select("id"), "id", "left_anti")
+    # written first, so that its size is known before the least words are joined to it
+    copies = materialize(docs.select("id", "h1", "h2").join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
+    reps = docs.select("id", "least").join(copies.select("id"), "id", "left_anti")
     pairs = materialize(node_pairs(nodes_of(reps, words, shares, records, threshold, trees, small), threshold), "pairs")
     links = verified(pairs, texts, threshold)
     members = docs.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))

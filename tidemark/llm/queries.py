@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chosen_path, hash_forest, nearest_time
+from tidemark.llm import chosen_path, hash_forest, nearest_time, truncation
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_time.match_extractions(t("extractions"), t("prices"), t("companies"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content or description that was cut inside a word or sentence."""
+    return truncation.truncated_values(table(spark, sf_dir, "news_articles"))
+
+
+def p2_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut values of every source."""
+    articles = table(spark, sf_dir, "news_articles")
+    return truncation.truncation_by_source(articles, truncation.truncated_values(articles))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article that repeats one accepted before it, batch by batch."""
     return hash_forest.deduplicate(table(spark, sf_dir, "news_articles").select("id", "title", "url", "batch_no"))
@@ -28,4 +39,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_pairs(chosen_path.article_texts(table(spark, sf_dir, "news_articles")), 0.70)
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_share_by_source": p2_share_by_source, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
