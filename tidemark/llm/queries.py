@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chosen_path, hash_forest, nearest_time, truncation
+from tidemark.llm import chosen_path, hash_forest, leakage, nearest_time, packing, truncation
+from tidemark.scratch import materialize
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,4 +41,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_pairs(chosen_path.article_texts(table(spark, sf_dir, "news_articles")), 0.70)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_share_by_source": p2_share_by_source, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def _pack(pack_name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        capacity = table(spark, sf_dir, "pack_sizes").where(F.col("pack_name") == pack_name).select("capacity_tokens").first()[0]
+        return packing.pack(table(spark, sf_dir, "documents"), int(capacity))
+
+    query.__doc__ = f"All texts in containers of the capacity {pack_name!r}."
+    return query
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and evaluation item that share at least 13 consecutive words."""
+    index = materialize(leakage.build_index(table(spark, sf_dir, "documents")), "index")
+    return leakage.phrase_matches(index, table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of an item's rarest words close together."""
+    index = materialize(leakage.build_index(table(spark, sf_dir, "documents")), "index")
+    return leakage.proximity_matches(index, table(spark, sf_dir, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {"p7_pack_main": _pack("main"), "p7_pack_small": _pack("small"), "p7_pack_large": _pack("large"), "p8_found": p8_found, "p8_proximity": p8_proximity, "p2_found": p2_found, "p2_share_by_source": p2_share_by_source, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
