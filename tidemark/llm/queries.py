@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chosen_path, hash_forest, leakage, nearest_time, packing, truncation
+from tidemark.llm import chosen_path, encoding_repair, hash_forest, leakage, nearest_time, packing, truncation
 from tidemark.scratch import materialize
 from tidemark.tables import table
 
@@ -62,4 +62,14 @@ def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.proximity_matches(index, table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p7_pack_main": _pack("main"), "p7_pack_small": _pack("small"), "p7_pack_large": _pack("large"), "p8_found": p8_found, "p8_proximity": p8_proximity, "p2_found": p2_found, "p2_share_by_source": p2_share_by_source, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of which at least a part was decoded wrongly."""
+    return encoding_repair.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with their text restored as far as it can be."""
+    return encoding_repair.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p9_found": p9_found, "p9_restored": p9_restored, "p7_pack_main": _pack("main"), "p7_pack_small": _pack("small"), "p7_pack_large": _pack("large"), "p8_found": p8_found, "p8_proximity": p8_proximity, "p2_found": p2_found, "p2_share_by_source": p2_share_by_source, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
