@@ -1,27 +1,401 @@
-"""Queries of the core over a data directory, by name, and their SQL where SQL can express them."""
+"""Queries of the core over a data directory, by name. Their SQL is in ``tidemark.sql``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators import nested, timestamps
+from tidemark.functions import scalars
+from tidemark.operators import asof, features, metrics, model, nested, news, timestamps, validate
+from tidemark.plans import roles
+from tidemark.scratch import materialize, new_path
+from tidemark.sources import files
+from tidemark.sql import SQL  # noqa: F401
+from tidemark.streaming import streams
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+START, END = "1998-01-01", "1999-12-31"
+QUERIES: dict[str, Query] = {}
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(f: Query) -> Query:
+    """Register a query under its name."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query
+def p1_found(spark, d):
     """Every child of every extraction, linked through interval labels."""
-    return nested.child_rows(table(spark, sf_dir, "extractions"))
+    return nested.child_rows(table(spark, d, "extractions"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def p1_nodes(spark, d):
+    """All nodes of all extractions with their interval labels."""
+    return nested.label_nodes(table(spark, d, "extractions"))
+
+
+@query
+def p3_found(spark, d):
     """Every readable stamp not yet canonical, with its UTC second."""
-    t = lambda name: table(spark, sf_dir, name)
+    t = lambda name: table(spark, d, name)
     return timestamps.normalised_moments(t("news_articles"), t("prices"), t("news_sources"), t("companies"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found}
-SQL: dict[str, str] = {}
+@query
+def daily_prices(spark, d):
+    """Cleaned daily prices."""
+    return _rounded(roles.daily_prices(spark, d), "close", "high", "low")
+
+
+@query
+def price_change_forward_asof(spark, d):
+    """First price from each order's day on, and from three days after the day found."""
+    moved = asof.price_change(roles.predictions(spark, d), roles.asof_prices(spark, d), "article_day")
+    return _rounded(moved.select("id", "ticker", "t0_day", "price_t0", "tn_day", "price_tn", "pct_change"), "price_t0", "price_tn", "pct_change")
+
+
+def _labelled(spark, d):
+    return asof.label_predictions(roles.predictions(spark, d), roles.asof_prices(spark, d), "article_day", "predicted_direction")
+
+
+@query
+def labeled_predictions(spark, d):
+    """Predictions with their label and whether they were right."""
+    return _labelled(spark, d).select("id", "predicted_direction", "price_label", "correct")
+
+
+@query
+def accuracy_overall(spark, d):
+    """A1, A8."""
+    return metrics.overall(_labelled(spark, d))
+
+
+@query
+def accuracy_by_confidence(spark, d):
+    """A4."""
+    return metrics.by_confidence(_labelled(spark, d))
+
+
+@query
+def accuracy_by_impact(spark, d):
+    """A5, O5."""
+    return metrics.by_group(_labelled(spark, d), "impact_type")
+
+
+@query
+def accuracy_by_ticker_top15(spark, d):
+    """The fifteen most frequent tickers."""
+    return metrics.by_group(_labelled(spark, d), "ticker", top=15)
+
+
+@query
+def direction_distribution(spark, d):
+    """Directions over all affected companies of the extractions."""
+    return metrics.distribution(asof.affected_entities(table(spark, d, "extractions"), F.col("prediction")), "predicted_direction")
+
+
+@query
+def confusion_per_class(spark, d):
+    """A2."""
+    return metrics.confusion(_labelled(spark, d))
+
+
+@query
+def precision_recall_f1(spark, d):
+    """A3."""
+    return metrics.precision_recall_f1(_labelled(spark, d))
+
+
+def _series(spark, d):
+    return roles.daily_prices(spark, d).select("ticker", F.col("day").alias("time"), "close", "volume")
+
+
+@query
+def returns_1_5_20(spark, d):
+    """W1."""
+    return _rounded(features.returns(_series(spark, d)).select("ticker", "time", "ret_1d", "ret_5d", "ret_20d"), "ret_1d", "ret_5d", "ret_20d")
+
+
+@query
+def volume_change(spark, d):
+    """W2."""
+    return _rounded(features.returns(_series(spark, d)).select("ticker", "time", "vol_change"), "vol_change")
+
+
+@query
+def sma_20(spark, d):
+    """W3."""
+    return _rounded(features.returns(_series(spark, d)).select("ticker", "time", "sma_20"), "sma_20")
+
+
+@query
+def rsi_14(spark, d):
+    """W4-W7."""
+    return _rounded(features.rsi(_series(spark, d)).select("ticker", "time", "rsi_14"), "rsi_14")
+
+
+@query
+def next_day_target(spark, d):
+    """W8."""
+    return features.next_day_target(_series(spark, d)).select("ticker", "time", "target")
+
+
+@query
+def sentiment_daily(spark, d):
+    """A9."""
+    return _rounded(features.daily_sentiment(roles.sentiment(spark, d)), "score")
+
+
+@query
+def feature_frame(spark, d):
+    """M4: A9, W1-W9, J5, P13, P14."""
+    return _rounded(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END), "close", *features.FEATURES)
+
+
+@query
+def latest_features(spark, d):
+    """W10."""
+    return _rounded(features.latest_features(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END)), "close", *features.FEATURES)
+
+
+@query
+def chronological_split_counts(spark, d):
+    """W11."""
+    split = features.chronological_split(_series(spark, d))
+    return split.groupBy("ticker").agg(F.count_if("is_test").alias("n_test"), F.count_if(~F.col("is_test")).alias("n_train"))
+
+
+@query
+def trainable_tickers(spark, d):
+    """A12."""
+    return features.trainable_tickers(_series(spark, d))
+
+
+@query
+def sector_peers(spark, d):
+    """J11."""
+    return news.sector_peers(table(spark, d, "companies"))
+
+
+@query
+def competitor_pairs(spark, d):
+    """J12, J13, A14."""
+    return news.competitor_pairs(table(spark, d, "relationships"), table(spark, d, "companies"))
+
+
+@query
+def news_dedup_hash(spark, d):
+    """The first article of each content hash."""
+    return news.first_by_hash(table(spark, d, "news_articles"), [F.col("id")]).select("id", "content_hash")
+
+
+@query
+def news_dedup_first_url(spark, d):
+    """What an insert-or-ignore of the later batches into the first one adds."""
+    articles = table(spark, d, "news_articles").where(F.coalesce("url", F.lit("")) != "")
+    return news.insert_new(articles.where("batch_no = 0"), articles.where("batch_no > 0"), "url", [F.col("id")]).select("id", "url")
+
+
+@query
+def news_union_sources(spark, d):
+    """Two sources in one, first row a url."""
+    a = table(spark, d, "news_articles").select("id", "url", "batch_no")
+    return news.union_sources(a.where("batch_no % 2 = 0"), a.where("batch_no % 2 = 1"), ["id"]).select("id", "source_rank")
+
+
+@query
+def price_upsert(spark, d):
+    """The table of prices after merging the later loads into it."""
+    rows = table(spark, d, "prices").select(scalars.trimmed(F.col("Stock Code")).alias("code"), F.col("Date").alias("date"), F.col("Day's Final Price").alias("price"), "price_id").where("code is not null and date is not null")
+    half = F.lit(1) + F.col("price_id") % 2
+    old, new = rows.where(half == 1), rows.where(half == 2)
+    latest = news.upsert(old.limit(0), old, ["code", "date"], [F.desc("price_id")])
+    return news.upsert(latest, new, ["code", "date"], [F.desc("price_id")]).select("code", "date", "price", "price_id")
+
+
+@query
+def ticker_text_match(spark, d):
+    """The companies named in each article."""
+    return news.match_companies(table(spark, d, "news_articles"), table(spark, d, "companies")).select("id", "matched")
+
+
+@query
+def ticker_ilike_match(spark, d):
+    """Suppliers whose name holds a customer's number."""
+    symbols = table(spark, d, "companies").select(F.crc32("ticker").alias("id"), F.col("ticker").alias("symbol"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.substring("o_orderstatus", 1, 1).alias("ticker"))
+    return news.match_symbols(rows, symbols).select("o_orderkey", "symbol_id")
+
+
+@query
+def short_text_filter(spark, d):
+    """Articles with at least fifty characters in all."""
+    whole = F.concat(*[F.coalesce(c, F.lit("")) for c in ("content", "description", "title")])
+    return table(spark, d, "news_articles").where(F.length(whole) >= 50).select("id")
+
+
+@query
+def truncated_text(spark, d):
+    """The first text that is not empty, cut to two thousand characters."""
+    t = scalars.article_text(F.col("content"), F.col("description"), F.col("title"))
+    return table(spark, d, "news_articles").select("id", F.md5(t).alias("text_md5"), F.length(t).alias("n"))
+
+
+@query
+def query_strings(spark, d):
+    """Search expressions of fifteen names each."""
+    return news.query_strings(table(spark, d, "companies"))
+
+
+@query
+def price_validity(spark, d):
+    """P10: whether each day's row of prices is valid."""
+    p = roles.daily_prices(spark, d)
+    ok = validate.price_row_valid(p["close"], p["high"], p["low"], p["close"], p["volume"])
+    return p.select("ticker", "day", ok.alias("ok"))
+
+
+@query
+def prediction_validity_errors(spark, d):
+    """How often each kind of error occurs in each extraction."""
+    rows = table(spark, d, "extractions").where("prediction is not null")
+    checked = validate.with_errors(rows, F.col("prediction"), table(spark, d, "companies"))
+    count = lambda prefix: F.size(F.filter("errors", lambda x: x.startswith(prefix))).alias("n_" + prefix.split()[1].rstrip(":"))
+    return checked.select("extraction_id", count("invalid event_type"), count("invalid ticker"), count("invalid direction"), count("invalid impact_type"), count("invalid confidence"), F.size(F.filter("errors", lambda x: x.startswith("in both"))).alias("n_both"))
+
+
+@query
+def valid_invalid_split(spark, d):
+    """Numbers of valid and invalid predictions."""
+    checked = validate.with_errors(table(spark, d, "extractions").where("prediction is not null"), F.col("prediction"), table(spark, d, "companies"))
+    return checked.agg(F.count_if(F.size("errors") == 0).alias("n_valid"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
+
+
+@query
+def name_normalise(spark, d):
+    """names without share class and legal form, and as file names."""
+    n = F.concat(F.col("name"), F.lit(" Ord 1_00"))
+    return table(spark, d, "companies").select("ticker", scalars.strip_share_suffix(n).alias("bare"), scalars.strip_legal_forms(F.col("name")).alias("short"), scalars.safe_file_name(n).alias("file_name"))
+
+
+@query
+def date_normalise(spark, d):
+    """The price dates in one of four notations."""
+    day = scalars.normalise_date(F.col("Date"))
+    return table(spark, d, "prices").select("price_id", day.alias("day")).where("day is not null")
+
+
+@query
+def price_numbers(spark, d):
+    """Prices as numbers."""
+    return table(spark, d, "prices").select("price_id", F.round(scalars.to_number(F.col("Day's Final Price")), 6).alias("price")).where("price is not null and not isnan(price)")
+
+
+@query
+def ticker_lookup(spark, d):
+    """Companies found by lower-cased bare name among the partners named in relationships."""
+    names = table(spark, d, "relationships").select(F.col("ticker_2").alias("name")).distinct()
+    known = table(spark, d, "companies").select("ticker", F.lower("ticker").alias("k"))
+    return names.join(known, F.lower("name") == F.col("k")).select("name", "ticker")
+
+
+@query
+def unmatched_names(spark, d):
+    """Partners that are no listed company."""
+    names = table(spark, d, "relationships").select(F.col("ticker_2").alias("name")).distinct()
+    return names.join(table(spark, d, "companies").select(F.col("ticker").alias("name")), "name", "left_anti")
+
+
+@query
+def latest_100_alerts(spark, d):
+    """Of the last hundred scores those from a threshold on, with a message."""
+    scored = table(spark, d, "orders").select("o_orderkey", "o_custkey", ((F.col("o_orderkey") * 37 % 101) / F.lit(100.0)).alias("p"))
+    last = scored.orderBy(F.desc("o_orderkey")).limit(100).where("p >= 0.7")
+    named = last.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    side = F.when(F.col("p") > 0.5, "BUY/UP").otherwise("SELL/DOWN")
+    return named.select("o_orderkey", F.concat_ws(" ", "c_name", F.format_string("%.1f%%", F.col("p") * 100), side).alias("message"))
+
+
+@query
+def event_props_json(spark, d):
+    """a number out of a JSON field, 0 where it is missing."""
+    return table(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "double"), F.lit(0.0)).alias("k"))
+
+
+@query
+def reply_json(spark, d):
+    """replies from which a JSON object can be read."""
+    v = scalars.parse_reply(F.col("raw_reply"))
+    return table(spark, d, "extractions").where("raw_reply is not null").select("extraction_id", (F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")).alias("is_object"))
+
+
+@query
+def json_lines_roundtrip(spark, d):
+    """Labelled rows written as JSON lines and read back."""
+    path = new_path(spark, "labelled")
+    _labelled(spark, d).select("id", "predicted_direction", "price_label", "correct").write.json(path)
+    got = files.json_lines(spark, path)
+    field = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind).alias(name)
+    return got.select(field("id", "long"), field("predicted_direction", "string"), field("price_label", "string"), field("correct", "boolean"))
+
+
+@query
+def price_csv_roundtrip(spark, d):
+    """The price table written as one CSV and loaded: last row of a key wins."""
+    path = new_path(spark, "csv")
+    rows = roles.asof_prices(spark, d).select(F.col("ticker").alias("Stock Code"), F.date_format("day", "yyyy-MM-dd").alias("Date"), F.format_string("%.2f", F.col("price")).alias("Day's Final Price"))
+    rows.write.option("header", True).csv(path)
+    return asof.latest_prices(files.price_csv(spark, path), F.col("line"))
+
+
+@query
+def date_spine_missing(spark, d):
+    """The days of a year on which nothing was shipped."""
+    shipped = table(spark, d, "lineitem").select(F.concat(F.date_format("l_shipdate", "dd-MMMM-yyyy"), F.lit(".xls")).alias("file_name")).distinct()
+    return files.missing_files(files.date_spine(spark, "1994-12-01", "1995-03-31"), shipped)
+
+
+@query
+def stream_dedup(spark, d):
+    """Users of the event stream, each once."""
+    stream = streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet").select("user_id", "event_type")
+    name = "dedup_" + new_path(spark, "x")[-12:]
+    streams.run_available(streams.deduplicated(stream, ["user_id", "event_type"]), name, new_path(spark, "stream"))
+    return spark.table(name)
+
+
+@query
+def stream_daily_window(spark, d):
+    """Daily means by event type, of the windows the watermark has closed."""
+    stream = streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet")
+    name = "daily_" + new_path(spark, "x")[-12:]
+    streams.run_available(streams.daily_means(stream, "event_type", "ts", "value"), name, new_path(spark, "stream"))
+    last = table(spark, d, "events").agg(F.max("ts").alias("m"))
+    closed = spark.table(name).join(F.broadcast(last)).where(F.date_add("day", 2) <= F.to_date("m"))
+    return _rounded(closed.select("event_type", "day", "mean", "n"), "mean")
+
+
+@query
+def gbt_predictions(spark, d):
+    """Each ticker's probability of a rise from its last features."""
+    frame = materialize(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END), "features")
+    fitted, _ = model.train(frame)
+    return model.predict_latest(fitted, frame)
+
+
+@query
+def synthetic_metrics(spark, d):
+    """Metrics of generated labelled rows."""
+    return metrics.by_confidence(files.synthetic_predictions(spark))
+
+
+FLAGSHIP: Query = accuracy_by_confidence
