@@ -49,7 +49,7 @@ def read_object(text: str | None, depth: int = 4) -> dict | None:
             except RecursionError:
                 return None
             except ValueError:
-                if text[at + 1 :].lstrip()[:1] in ('"', "}", ""):
+                if text[at + 1 :].lstrip()[:1] in ('"', "}", "", "\\"):
                     quoted = text.rfind('"', 0, at)
                     return _quoted(text, quoted, depth)
                 at = text.find("{", at + 1)

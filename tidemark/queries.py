@@ -350,9 +350,9 @@ def json_lines_roundtrip(spark, d):
 
 @query
 def price_csv_roundtrip(spark, d):
-    """The price table written as one CSV and loaded: last row of a key wins."""
+    """The prices in cents, written as CSV and loaded again."""
     path = new_path(spark, "csv")
-    rows = roles.asof_prices(spark, d).select(F.col("ticker").alias("Stock Code"), F.date_format("day", "yyyy-MM-dd").alias("Date"), F.format_string("%.2f", F.col("price")).alias("Day's Final Price"))
+    rows = roles.asof_prices(spark, d).select(F.col("ticker").alias("Stock Code"), F.date_format("day", "yyyy-MM-dd").alias("Date"), F.floor(F.col("price") * 100).cast("string").alias("Day's Final Price"))
     rows.write.option("header", True).csv(path)
     return asof.latest_prices(files.price_csv(spark, path), F.col("line"))
 

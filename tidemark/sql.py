@@ -39,16 +39,15 @@ def _group(column: str, tail: str = "") -> str:
     return f"WITH {_MOVED} SELECT coalesce(nullif({column}, ''), 'unknown') AS \"group\", round(avg(correct::INT), 4) AS accuracy, count(*) AS n FROM l GROUP BY 1 {tail}"
 
 
-_E8 = "prediction.directly_affected, prediction.indirectly_affected"
 _BAD = """list_concat(coalesce(prediction.directly_affected, []), coalesce(prediction.indirectly_affected, []))"""
 _ERRORS = f"""errs AS (SELECT extraction_id,
  (NOT coalesce(prediction.event_type IN ('earnings','regulation','product_launch','disaster','merger_acquisition','macro','legal','management_change','other'), false))::INT AS n_event_type,
- len(list_filter({_BAD}, lambda e: NOT coalesce(list_contains((SELECT list(ticker) FROM companies), e.ticker), false))) AS n_ticker,
+ len(list_filter({_BAD}, lambda e: NOT coalesce(list_contains(known, e.ticker), false))) AS n_ticker,
  len(list_filter({_BAD}, lambda e: NOT coalesce(e.direction IN ('UP','DOWN','NEUTRAL'), false))) AS n_direction,
  len(list_filter({_BAD}, lambda e: NOT coalesce(e.impact_type IN ('direct','competitor','sector_spillover','supplier_chain','regulatory'), false))) AS n_impact_type,
  len(list_filter({_BAD}, lambda e: NOT coalesce(e.confidence BETWEEN 0 AND 1, false))) AS n_confidence,
  (len(list_intersect(list_transform(coalesce(prediction.directly_affected, []), lambda e: coalesce(e.ticker, '<null>')), list_transform(coalesce(prediction.indirectly_affected, []), lambda e: coalesce(e.ticker, '<null>')))) > 0)::INT AS n_both
- FROM extractions WHERE prediction IS NOT NULL)"""
+, (1) AS one FROM extractions, (SELECT list(ticker) AS known FROM companies) WHERE prediction IS NOT NULL)"""
 
 SQL: dict[str, str] = {
     "daily_prices": f"SELECT ticker, day, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, volume FROM ({_PRICES})",
@@ -85,7 +84,7 @@ SQL: dict[str, str] = {
     "truncated_text": "SELECT id, md5(t) AS text_md5, length(t) AS n FROM (SELECT id, left(coalesce(nullif(content, ''), nullif(description, ''), nullif(title, ''), ''), 2000) AS t FROM news_articles)",
     "query_strings": f"SELECT chunk, '(' || string_agg('\"' || n || '\"', ' OR ' ORDER BY r) || ')' AS query FROM (SELECT r, n, (r - 1) // 15 AS chunk FROM (SELECT {_SHORT} AS n, row_number() OVER (ORDER BY ticker) AS r FROM companies)) GROUP BY chunk",
     "price_validity": f"SELECT ticker, day, close >= 0 AND high >= 0 AND low >= 0 AND volume >= 0 AND low <= high AS ok FROM ({_PRICES})",
-    "prediction_validity_errors": f"WITH {_ERRORS} SELECT * FROM errs",
+    "prediction_validity_errors": f"WITH {_ERRORS} SELECT * EXCLUDE (one) FROM errs",
     "valid_invalid_split": f"WITH {_ERRORS}, s AS (SELECT n_event_type + n_ticker + n_direction + n_impact_type + n_confidence + n_both AS n FROM errs) SELECT count(*) FILTER (WHERE n = 0) AS n_valid, count(*) FILTER (WHERE n > 0) AS n_invalid FROM s",
     "name_normalise": rf"SELECT ticker, trim(regexp_replace(name || ' Ord 1_00', '\s+[Oo]rd[\s._].*$', '')) AS bare, {_SHORT} AS short, regexp_replace(name || ' Ord 1_00', '[^\p{{L}}\p{{N}} _-]', '_', 'g') AS file_name FROM companies",
     "date_normalise": r"""WITH s AS (SELECT price_id, regexp_replace("Date", '^\s+|\s+$', '', 'g') AS t FROM prices)
@@ -99,7 +98,7 @@ SQL: dict[str, str] = {
  FROM (SELECT *, (o_orderkey * 37 % 101) / 100.0::DOUBLE AS p FROM orders ORDER BY o_orderkey DESC LIMIT 100) JOIN customer ON o_custkey = c_custkey WHERE p >= 0.7""",
     "event_props_json": "SELECT event_id, coalesce((props::JSON ->> '$.k')::DOUBLE, 0.0) AS k FROM events",
     "json_lines_roundtrip": f"WITH {_MOVED} SELECT id, predicted_direction, price_label, correct FROM l",
-    "price_csv_roundtrip": f"SELECT ticker, day, printf('%.2f', close)::DOUBLE AS price FROM ({_PRICES})",
+    "price_csv_roundtrip": f"SELECT ticker, day, floor(close * 100)::DOUBLE AS price FROM ({_PRICES})",
     "date_spine_missing": "SELECT d::DATE AS day, strftime(d, '%d-%B-%Y') || '.xls' AS file_name FROM generate_series(DATE '1994-12-01', DATE '1995-03-31', INTERVAL 1 DAY) g(d) WHERE d::DATE NOT IN (SELECT l_shipdate::DATE FROM lineitem)",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_daily_window": "SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2 HAVING ts::DATE + 2 <= (SELECT max(ts)::DATE FROM events)",
