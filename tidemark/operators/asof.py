@@ -26,20 +26,32 @@ def latest_prices(raw: DataFrame, order: Column, ticker: str = "Stock Code", day
     return kept.groupBy("ticker", "day").agg(F.max_by("price", "o").alias("price"))
 
 
-def forward_asof(probes: DataFrame, prices: DataFrame, day: Column, found_day: str, found_price: str, search_days: int = SEARCH_DAYS) -> DataFrame:
-    """``probes`` (with a ticker) plus the first price on ``day`` or up to ``search_days`` days later, and its day."""
-    asked = probes.withColumn("__day", day)
-    keys = asked.select("ticker", "__day").where(F.col("ticker").isNotNull() & F.col("__day").isNotNull()).distinct()
-    candidates = keys.select("ticker", "__day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(search_days)), lambda k: F.date_add("__day", k))).alias("day"))
-    hits = candidates.join(prices.select("ticker", "day", "price"), ["ticker", "day"]).groupBy("ticker", "__day").agg(F.min("day").alias(found_day), F.min_by("price", "day").alias(found_price))
-    return asked.join(hits, ["ticker", "__day"], "left").drop("__day")
+def resolve_keys(keys: DataFrame, prices: DataFrame, day: Column, found_day: str, found_price: str, search_days: int = SEARCH_DAYS) -> DataFrame:
+    """``keys``, distinct rows with a ticker, plus the first price on ``day`` or up to ``search_days`` days later, and its
+    day. Each key becomes its candidate days; one left hash join and one aggregation, and ``keys`` is read once."""
+    spread = keys.withColumn("__at", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(search_days)), lambda k: F.date_add(day, k))))
+    known = prices.select(F.col("ticker").alias("__ticker"), F.col("day").alias("__found"), F.col("price").alias("__price"))
+    joined = spread.join(known, (F.col("ticker") == F.col("__ticker")) & (F.col("__at") == F.col("__found")), "left")
+    first = F.min(F.when(F.col("__found").isNotNull(), F.struct("__found", "__price")))
+    hits = joined.groupBy(*keys.columns).agg(first.alias("__hit"))
+    return hits.select(*keys.columns, F.col("__hit.__found").alias(found_day), F.col("__hit.__price").alias(found_price))
+
+
+def forward_asof(probes: DataFrame, prices: DataFrame, day: str, found_day: str, found_price: str, search_days: int = SEARCH_DAYS) -> DataFrame:
+    """``probes`` (with a ticker) plus the first price from their ``day`` on, and its day."""
+    keys = probes.select("ticker", day).where(F.col("ticker").isNotNull() & F.col(day).isNotNull()).distinct()
+    return probes.join(resolve_keys(keys, prices, F.col(day), found_day, found_price, search_days), ["ticker", day], "left")
 
 
 def price_change(probes: DataFrame, prices: DataFrame, from_day: str, lookahead: int = 3, search_days: int = SEARCH_DAYS) -> DataFrame:
-    """``probes`` plus price_t0 from ``from_day`` on, price_tn from ``lookahead`` days after the day found, and pct_change."""
-    first = forward_asof(probes, prices, F.col(from_day), "t0_day", "price_t0", search_days)
-    both = forward_asof(first, prices, F.date_add("t0_day", lookahead), "tn_day", "price_tn", search_days)
-    return both.withColumn("pct_change", percent_change(F.col("price_t0"), F.col("price_tn")))
+    """``probes`` plus price_t0 from ``from_day`` on, price_tn from ``lookahead`` days after the day found, and pct_change.
+
+    Both searches run over the distinct (ticker, day) keys; the probes are joined to the result once.
+    """
+    keys = probes.select("ticker", from_day).where(F.col("ticker").isNotNull() & F.col(from_day).isNotNull()).distinct()
+    first = resolve_keys(keys, prices, F.col(from_day), "t0_day", "price_t0", search_days)
+    both = resolve_keys(first, prices, F.date_add("t0_day", lookahead), "tn_day", "price_tn", search_days)
+    return probes.join(both, ["ticker", from_day], "left").withColumn("pct_change", percent_change(F.col("price_t0"), F.col("price_tn")))
 
 
 def label_predictions(predictions: DataFrame, prices: DataFrame, from_day: str, direction: str, lookahead: int = 3, threshold: float = 1.5, require_price: bool = False) -> DataFrame:
