@@ -26,7 +26,7 @@ from tidemark.llm.words import distinct_words, minhash, mixed, multipliers, word
 from tidemark.scratch import materialize
 
 FUNCTIONS = 64
-TREES = 6
+TREES = 7
 SMALL = 100.0  # expected records of a node that is compared exhaustively
 FREQUENT = 0.001  # share of records from which a word's frequency is kept; at most (words a record) / FREQUENT words
 MAX_DEPTH = 16
