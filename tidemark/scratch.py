@@ -8,7 +8,6 @@ would run its plan a second time. The folder is the cluster's ``spark.checkpoint
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -48,7 +47,3 @@ def remove(spark: SparkSession, path: str) -> None:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-
-def path_of(df: DataFrame) -> list[str]:
-    """The files a materialized table reads."""
-    return [os.path.dirname(f) for f in df.inputFiles()]

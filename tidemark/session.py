@@ -1,8 +1,13 @@
-"""A session with the settings this library is written for."""
+"""A session with the settings this library is written for, and the package on its executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,4 +28,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application: the driver serves it to executors as Spark's own files."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    atexit.register(shutil.rmtree, folder, True)  # executors that start late still fetch it from the driver
+    with zipfile.ZipFile(f"{folder}/{package.name}_package.zip", "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, f"{package.name}/{source.relative_to(package)}")
+    spark.sparkContext.addPyFile(z.filename)
+    _SHIPPED.add(app)
