@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import distinct_words, minhash, mixed, multipliers, word_sets
-from tidemark.scratch import materialize
+from tidemark.scratch import materialize, new_path, remove
 
 FUNCTIONS = 64
 TREES = 7
@@ -168,16 +168,19 @@ def similar_classes(texts: DataFrame, threshold: float, trees: int = TREES, smal
 
     ``texts`` has columns id, text. Copies are not expanded into pairs: the two results are linear in the classes.
     """
-    prints = materialize(fingerprints(texts), "prints")
-    docs = prints.where("kind = 0")
+    spark, path = texts.sparkSession, new_path(texts.sparkSession, "prints")
+    fingerprints(texts).write.parquet(path)
+    prints = spark.read.parquet(path)
+    docs = materialize(prints.where("kind = 0").select("id", "h1", "h2"), "docs")
     records = docs.count()
     words, shares = frequent_words(prints, records)
     groups = docs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     shared = groups.where("copies > 1").select("h1", "h2", "rep")
     # written first, so that its size is known before the least words are joined to it
     copies = materialize(docs.select("id", "h1", "h2").join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
-    reps = docs.select("id", "least").join(copies.select("id"), "id", "left_anti")
+    reps = prints.where("kind = 0").select("id", "least").join(copies.select("id"), "id", "left_anti")
     pairs = materialize(node_pairs(nodes_of(reps, words, shares, records, threshold, trees, small), threshold), "pairs")
+    remove(spark, path)  # the least words have done their part
     links = verified(pairs, texts, threshold)
     members = docs.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return members, links
