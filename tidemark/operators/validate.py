@@ -46,9 +46,9 @@ def prediction_errors(prediction: Column, tickers: Column) -> Column:
 
 
 def with_errors(rows: DataFrame, prediction: Column, companies: DataFrame) -> DataFrame:
-    """``rows`` plus ``errors``; the known tickers are one small aggregated row, joined by broadcast."""
-    known = companies.agg(F.sort_array(F.collect_set("ticker")).alias("__known"))
-    return rows.join(F.broadcast(known)).withColumn("errors", prediction_errors(prediction, F.col("__known"))).drop("__known")
+    """``rows`` plus ``errors``; the known tickers are one scalar subquery over the dimension."""
+    known = companies.agg(F.sort_array(F.collect_set("ticker"))).scalar()
+    return rows.withColumn("__known", known).withColumn("errors", prediction_errors(prediction, F.col("__known"))).drop("__known")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

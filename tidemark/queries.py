@@ -379,8 +379,8 @@ def stream_daily_window(spark, d):
     stream = streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet")
     name = "daily_" + new_path(spark, "x")[-12:]
     streams.run_available(streams.daily_means(stream, "event_type", "ts", "value"), name, new_path(spark, "stream"))
-    last = table(spark, d, "events").agg(F.max("ts").alias("m"))
-    closed = spark.table(name).join(F.broadcast(last)).where(F.date_add("day", 2) <= F.to_date("m"))
+    last = table(spark, d, "events").agg(F.max("ts")).scalar()
+    closed = spark.table(name).where(F.date_add("day", 2) <= F.to_date(last))
     return _rounded(closed.select("event_type", "day", "mean", "n"), "mean")
 
 
