@@ -1,3 +1,13 @@
 """SQL for the queries of this subpackage that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_ARTICLE = _WORDS.format("coalesce(title, '') || ' ' || coalesce(content, '')")
+
+SQL: dict[str, str] = {
+    "p6_found": f"""WITH w AS (SELECT id, list_distinct({_ARTICLE}) AS s FROM news_articles)
+ SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.id < b.id AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s)
+ WHERE len(list_intersect(a.s, b.s)) >= 0.7 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""",
+    "p8_found": f"""WITH d AS (SELECT doc_id AS k, {_WORDS.format("text")} AS s FROM documents), i AS (SELECT item_id AS k, {_WORDS.format("text")} AS s FROM eval_items),
+ dg AS (SELECT k, array_to_string(s[p:p + 12], ' ') AS g FROM d, unnest(range(1, len(s) - 11)) r(p)), ig AS (SELECT k, array_to_string(s[p:p + 12], ' ') AS g FROM i, unnest(range(1, len(s) - 11)) r(p))
+ SELECT DISTINCT dg.k AS doc_id, ig.k AS item_id FROM dg JOIN ig USING (g)""",
+}
