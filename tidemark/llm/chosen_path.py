@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import distinct_words, minhash, mixed, multipliers, word_sets
-from tidemark.scratch import materialize, new_path, remove
+from tidemark.scratch import materialize, new_path, release, remove
 
 FUNCTIONS = 64
 TREES = 7
@@ -180,7 +180,9 @@ def similar_classes(texts: DataFrame, threshold: float, trees: int = TREES, smal
     copies = materialize(docs.select("id", "h1", "h2").join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
     reps = prints.where("kind = 0").select("id", "least").join(copies.select("id"), "id", "left_anti")
     pairs = materialize(node_pairs(nodes_of(reps, words, shares, records, threshold, trees, small), threshold), "pairs")
-    remove(spark, path)  # the least words have done their part
+    remove(spark, path)  # the least words and the nodes have done their part
+    del reps, prints
+    release(spark)
     links = verified(pairs, texts, threshold)
     members = docs.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return members, links
