@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import distinct_words, minhash, mixed, multipliers, word_sets
-from tidemark.scratch import materialize, new_path, release, remove
+from tidemark.scratch import materialize, new_path, remove
 
 FUNCTIONS = 64
 TREES = 7
@@ -128,6 +128,8 @@ def nodes_of(reps: DataFrame, words: np.ndarray, shares: np.ndarray, records: in
             least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), -1)
             s1, s2 = sketches(least)
             rows, node = paths(least, words, shares, records, threshold, trees, small)
+            order = np.argsort(rows, kind="stable")  # a record's rows lie together, so its id and sketch compress in the shuffle
+            rows, node = rows[order], node[order]
             columns = [node.view(np.int64), ids[rows], s1[rows].view(np.int64), s2[rows].view(np.int64)]
             for at in range(0, len(rows), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["node", "id", "s1", "s2"])
@@ -180,9 +182,7 @@ def similar_classes(texts: DataFrame, threshold: float, trees: int = TREES, smal
     copies = materialize(docs.select("id", "h1", "h2").join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep"), "copies")
     reps = prints.where("kind = 0").select("id", "least").join(copies.select("id"), "id", "left_anti")
     pairs = materialize(node_pairs(nodes_of(reps, words, shares, records, threshold, trees, small), threshold), "pairs")
-    remove(spark, path)  # the least words and the nodes have done their part
-    del reps, prints
-    release(spark)
+    remove(spark, path)  # the least words have done their part
     links = verified(pairs, texts, threshold)
     members = docs.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return members, links
