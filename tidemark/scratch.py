@@ -8,7 +8,6 @@ would run its plan a second time. The folder is the cluster's ``spark.checkpoint
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -47,9 +46,3 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of plans that nothing refers to any more; it does so when it collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
