@@ -44,6 +44,31 @@ def test_truncated_values(spark):
     assert truncation.truncated_values(df.limit(0)).count() == 0
 
 
+def test_every_copy_of_a_hot_group_is_compared(spark):
+    rng = random.Random(8)
+    whole = " ".join(sentence(rng) for _ in range(40))
+    bare = whole[: whole.rindex(" crowns in ")]  # cut inside the last sentence
+    finished = "Nothing more was said. " + whole[: whole.rindex(". ")] + "."
+    texts = [bare] * 20 + [whole] + [finished] * 20 + [bare] * 20
+    values = spark.createDataFrame([(i, "content", t) for i, t in enumerate(texts)], "id long, field string, text string")
+    ends = spark.createDataFrame([(i, "content", t, False) for i, t in enumerate(texts) if t == bare], "id long, field string, text string, cut boolean")
+    got = {r["id"]: r["verdict"] for r in truncation.copies_judged(ends, values).collect()}
+    assert got == {i: 1 for i, t in enumerate(texts) if t == bare}
+
+
+def test_copy_in_the_middle_proves_the_cut(spark):
+    """Neither the least nor the greatest id of a band, nor its longest text, tells; one between them does."""
+    rng = random.Random(10)
+    lines = [sentence(rng) for _ in range(200)]
+    whole = " ".join(lines)
+    bare = whole[: whole.rindex(" crowns in ")]
+    mute = [" ".join(bare.split()[:-2]) + " " + "long" * 20 + str(k) for k in range(12)]  # without the open value's last words
+    texts = [*mute[:6], bare, whole, *mute[6:]]
+    values = spark.createDataFrame([(i, "content", t) for i, t in enumerate(texts)], "id long, field string, text string")
+    ends = spark.createDataFrame([(6, "content", bare, False)], "id long, field string, text string, cut boolean")
+    assert [(r["id"], r["verdict"]) for r in truncation.copies_judged(ends, values).collect()] == [(6, 1)]
+
+
 def test_alignment_decides():
     whole = " ".join(sentence(random.Random(k)) for k in range(10))
     assert truncation.judge(whole[:-20], whole) == 1

@@ -4,7 +4,8 @@ A value that does not end with a finished sentence is *open*. Open values are ju
 
 1. Near-copies are found by min-hash banding over five-word shingles and verified (similarity of at least 0.8). The open
    value's last words are aligned with the copy: if the copy goes on inside the same sentence, the value was cut; if the
-   copy's sentence ends there, it was not.
+   copy's sentence ends there, it was not. Identical texts form a class, and an open class is compared with every class
+   it shares a band with: first with three of each band, then, unless one of them proves the cut, with all the others.
 2. Values without such a copy were cut if their length is one at which open values pile up: a field limit. The others
    are scored by closing-word terminality: how often, over all texts, a sentence or text ends after these closing words
    rather than going on. The most telling closing context with enough support decides. Rare words, names and numbers
@@ -33,6 +34,8 @@ from tidemark.scratch import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 16, 6
+SALTS = 8  # parts a band's copies are split into by class, so that a hot band is no single task's
+BROADCAST_IDS = 1_000_000  # candidate ids below this many (8 MB) are broadcast to the texts, above they are joined by shuffle
 FREQUENT = 0.0005  # share of values from which a word counts by itself, at most (words a value) / FREQUENT words
 COMMON = 0.15  # share from which a word stays itself in the coarse contexts too
 SUPPORT = 8
@@ -275,13 +278,13 @@ def batch_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(values: DataFrame) -> DataFrame:
-    """(id, band): the min-hash bands of each value with at least one shingle."""
+    """(id, class, size, band): the min-hash bands of each value with at least one shingle; equal texts are one class."""
     functions = multipliers(BANDS * BAND_ROWS, 37)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in it:
-            ids = np.asarray(part.column(0))
-            shingles, sizes = batch_shingles(part.column(1).to_pylist())
+            ids, kinds, lengths = (np.asarray(part.column(k)) for k in range(3))
+            shingles, sizes = batch_shingles(part.column(3).to_pylist())
             full = sizes > 0
             if not full.any():
                 continue
@@ -290,9 +293,9 @@ def bands(values: DataFrame) -> DataFrame:
                 h = np.full(len(least), b + 1, np.uint64)
                 for k in range(BAND_ROWS):
                     h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + least[:, b * BAND_ROWS + k])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(h.view(np.int64))], names=["id", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(kinds[full]), pa.array(lengths[full]), pa.array(h.view(np.int64))], names=["id", "class", "size", "band"])
 
-    return values.select("id", "text").mapInArrow(rows, "id long, band long")
+    return values.select("id", F.xxhash64("text").alias("class"), F.length("text").alias("size"), "text").mapInArrow(rows, "id long, class long, size int, band long")
 
 
 def judge(short: str, copy: str) -> int | None:
@@ -302,9 +305,17 @@ def judge(short: str, copy: str) -> int | None:
     if state is None or state[0] == "cut":
         return None
     bare = state[1]
+    verdict = aligned(bare, copy)
+    if verdict is None:
+        return None
     x, y = shingle_hashes(bare), shingle_hashes(copy)
     if not len(x) or not len(y) or len(np.intersect1d(x, y, assume_unique=True)) < SIMILARITY * len(np.union1d(x, y)):
         return None
+    return verdict
+
+
+def aligned(bare: str, copy: str) -> int | None:
+    """As ``judge``, of any copy that has the open text's last words once."""
     words = TOKEN.findall(bare)
     for size in (8, 6, 4):
         if len(words) <= size:
@@ -320,25 +331,44 @@ def judge(short: str, copy: str) -> int | None:
     return None
 
 
+def pairs_judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, v): the highest verdict of each open value over its copies, of those that tell."""
+
+    def verdicts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in it:
+            rows = [(a, v) for a, t, c in zip(*(x.to_pylist() for x in part.columns), strict=True) if (v := judge(t, c)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["a", "v"])
+
+    mine, other = texts.select(F.col("id").alias("a"), "text"), texts.select(F.col("id").alias("b"), F.col("text").alias("copy"))
+    joined = pairs.join(mine, "a").join(other, "b").select("a", "text", "copy")
+    return joined.mapInArrow(verdicts, "a long, v int").groupBy("a").agg(F.max("v").alias("v"))
+
+
 def copies_judged(ends: DataFrame, values: DataFrame) -> DataFrame:
     """(id, field, verdict) of open values with a verified near-copy that tells."""
     found = []
     for field in FIELDS:
-        mine = ends.where((F.col("field") == field) & ~F.col("cut"))
+        mine = ends.where((F.col("field") == field) & ~F.col("cut")).select("id", F.xxhash64("text").alias("class"), "text")
         other = values.where(F.col("field") == field)
-        asked = bands(mine).select("band", F.col("id").alias("a"))
-        # one row per band is enough: a band's smallest other id stands for a hot band's copies, whatever their number
-        pairs = bands(other).join(asked, "band").where("a <> id").groupBy("a", "band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        pairs = pairs.select("a", F.explode(F.array("lo", "hi")).alias("b")).distinct()
-        texts = other.select(F.col("id").alias("b"), F.col("text").alias("copy"))
-        joined = pairs.join(mine.select(F.col("id").alias("a"), "text"), "a").join(texts, "b").select("a", "text", "copy")
-
-        def verdicts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in it:
-                rows = [(a, v) for a, t, c in zip(*(x.to_pylist() for x in part.columns), strict=True) if (v := judge(t, c)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["id", "v"])
-
-        found.append(joined.mapInArrow(verdicts, "id long, v int").groupBy("id").agg(F.max("v").alias("v")).select("id", F.lit(field).alias("field"), F.col("v").alias("verdict")))
+        reps = mine.groupBy("class").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"))
+        asked = materialize(bands(reps).select("band", F.col("id").alias("a")), "asked")
+        # a class is named by its smallest id, which an open class has in ``asked`` too: all its values are open
+        salted = asked.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).distinct()
+        copies = bands(other).withColumn("salt", F.pmod("class", F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"], "left_semi")
+        copies = materialize(copies.groupBy("band", "salt", "class").agg(F.min("id").alias("b"), F.first("size").alias("size")).select("band", "b", "size"), "copies")
+        some = copies.groupBy("band").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.max_by("b", "size").alias("longest")).where("lo <> hi")
+        some = materialize(some, "some")
+        ids = copies.join(some.select("band"), "band", "left_semi").select(F.col("b").alias("id")).distinct()
+        ids = F.broadcast(ids) if copies.count() <= BROADCAST_IDS else ids
+        texts = materialize(other.select("id", "text").join(ids, "id", "left_semi"), "texts")
+        first = materialize(asked.join(some, "band").select("a", F.explode(F.array("lo", "hi", "longest")).alias("b")).where("a <> b").distinct(), "pairs")
+        told = materialize(pairs_judged(first, texts), "told")
+        # no copy can outweigh a proven cut; the others are compared with every class of their bands
+        left = asked.join(told.where("v = 1").select("a"), "a", "left_anti")
+        rest = left.join(copies, "band").where("a <> b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+        verdict = told.unionByName(pairs_judged(rest, texts)).groupBy("a").agg(F.max("v").alias("verdict"))
+        named = reps.select(F.col("id").alias("a"), "class").join(verdict, "a").select("class", "verdict")
+        found.append(mine.select("id", "class").join(named, "class").select("id", F.lit(field).alias("field"), "verdict"))
     return found[0].unionByName(found[1])
 
 
