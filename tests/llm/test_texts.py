@@ -165,3 +165,13 @@ def test_encoding_repair(spark):
     assert got[300]["restored"] == FRENCH[0] + " " + FRENCH[1] and got[301]["restored"] == FRENCH[2] and got[302]["restored"] == FRENCH[1]
     assert got[303]["restored"] == RUSSIAN[0] and got[304]["restored"] == RUSSIAN[1] and got[305]["lost"]
     assert encoding_repair.garbled_documents(df.limit(0)).count() == 0
+
+
+def test_garbled_words_of_known_letter_runs_are_tried(spark):
+    """Letters around the wrong characters that also occur elsewhere in the sample, in another case and language, excuse nothing."""
+    rows = [(i, f"“Nobody sold the print-run” today, said the auditor of plant {i}.", "en") for i in range(60)]
+    rows += [(100 + i, f"{FRENCH[i % 3]} Les ôner sont en nö ici. {i}", "fr") for i in range(60)]
+    bad = [(300, "ôNobody sold the print-runö today.", "en")]
+    df = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["restored"] for r in encoding_repair.garbled_documents(df).collect()}
+    assert got == {300: "“Nobody sold the print-run” today."}
