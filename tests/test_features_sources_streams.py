@@ -122,3 +122,12 @@ def test_queue_quarantines_failures(spark, tmp_path):
     q.awaitTermination()
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
+
+
+def test_boosting_defaults_are_those_of_the_reference():
+    import inspect
+
+    from tidemark.operators import model
+
+    given = {k: v.default for k, v in inspect.signature(model.train).parameters.items()}
+    assert (given["rounds"], given["depth"], given["rate"], given["seed"]) == (100, 3, 0.05, 42)

@@ -1,4 +1,4 @@
-"""Boosted trees over the feature frame. One model for all tickers by default; per-ticker models where few tickers are asked for."""
+"""Boosted trees over the feature frame, in one model for all tickers."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def usable(frame: DataFrame) -> DataFrame:
     return frame.withColumns({c: F.greatest(F.least(F.col(c), F.lit(huge)), F.lit(-huge)) for c in FEATURES})
 
 
-def train(frame: DataFrame, rounds: int = 20, depth: int = 3, rate: float = 0.05, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+def train(frame: DataFrame, rounds: int = 100, depth: int = 3, rate: float = 0.05, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
     """The model fitted on the first 80 % of each trainable ticker's rows, and its hold-out accuracy (accuracy, n)."""
     rows = chronological_split(usable(frame.join(trainable_tickers(frame).select("ticker"), "ticker", "left_semi")))
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)]
