@@ -135,3 +135,17 @@ def test_nearest_equals_brute_force(spark, tolerance):
         if near:
             expected.append((lid, min(near)[2]))
     assert sorted((r["lid"], r["id"]) for r in got.collect()) == sorted(expected)
+
+
+def test_extractions_match_prices_and_blank_tickers_do_not(spark):
+    prediction = "struct<directly_affected:array<struct<ticker:string>>, data_quality:struct<article_date:string>>"
+    t = lambda *names: [(n,) for n in names]
+    when = ("2024-03-01T09:00:00Z",)
+    rows = [(1, (t(" abc ", "ABC", "", None, "  "), when)), (2, (t("zzz"), when)), (3, (None, when)), (4, (t("ABC"), ("no date",))), (5, (t("ABC"), (None,))), (6, None)]
+    prices = [(10, "abc", "2024-03-01T10:00:00Z"), (11, "ABC ", "2024-03-01T08:00:00Z"), (12, "", when[0]), (13, None, when[0]), (14, "  ", when[0]), (15, "ABC", "2024-03-02T10:00:00Z"), (16, "abc", None)]
+    got = nearest_time.match_extractions(
+        spark.createDataFrame(rows, f"extraction_id long, prediction {prediction}"),
+        spark.createDataFrame(prices, "price_id long, `Stock Code` string, Date string"),
+        spark.createDataFrame([("ABC", "Abc Plc", "UTC")], "ticker string, name string, listing_tz string"),
+    )
+    assert [tuple(r) for r in got.collect()] == [(1, 11)]

@@ -5,7 +5,7 @@ further than the tolerance. The left side is range-joined to them inside an inde
 than the tolerance matters, each cell needs only its own moments and those within the tolerance of its borders; so a
 key with a third of all rows is split by time, and a neighbour search never runs over a whole key.
 
-Defined results: null keys or times match nothing. Of two moments equally near the earlier wins, of rows at one moment
+Defined results: null and blank keys, and null times, match nothing. Of two moments equally near the earlier wins, of rows at one moment
 the smallest id. Repeated left rows each get their match; an unmatched left row gets none.
 """
 
@@ -43,13 +43,13 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance_s: int = TOLERANCE
 def match_extractions(extractions: DataFrame, prices: DataFrame, companies: DataFrame, tolerance_s: int = TOLERANCE_S) -> DataFrame:
     """(extraction_id, price_id): each directly affected ticker's price row nearest to the extraction's article date.
 
-    Rows whose ``article_date`` is null, empty or no moment, and null tickers, match nothing. The article date has no
+    Rows whose ``article_date`` is null, empty or no moment, and null or blank tickers, match nothing. The article date has no
     home clock, so only dates that show their zone are moments.
     """
     rows = extractions.where(F.col("prediction").isNotNull()).select("extraction_id", F.col("prediction.data_quality.article_date").alias("__date"), F.col("prediction.directly_affected.ticker").alias("__tickers"))
     dated = with_moment(rows.where(F.col("__date").isNotNull()), F.col("__date"), F.lit(True), "__m").withColumn("__home", F.lit(None).cast("string"))
     dated = resolve_utc(dated, "__m", "__home", [], out="t").where(F.col("t").isNotNull())
     keys = F.array_distinct(F.transform("__tickers", lambda x: F.upper(stripped(x))))
-    left = dated.select("extraction_id", "t", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
-    right = price_moments(prices.select("price_id", "Stock Code", "Date"), companies).select(F.col("code").alias("key"), F.col("utc_second").alias("t"), F.col("price_id").alias("id"))
+    left = dated.select("extraction_id", "t", F.explode(keys).alias("key")).where(F.col("key") != "")
+    right = price_moments(prices.select("price_id", "Stock Code", "Date"), companies).select(F.col("code").alias("key"), F.col("utc_second").alias("t"), F.col("price_id").alias("id")).where(F.col("key") != "")
     return nearest_join(left, right, tolerance_s).select("extraction_id", F.col("id").alias("price_id"))
