@@ -44,6 +44,11 @@ def test_truncated_values(spark):
     assert truncation.truncated_values(df.limit(0)).count() == 0
 
 
+def copies_judged(values):
+    ends, found = truncation.both_passes(values)
+    return truncation.copies_judged(ends, found.where("total is null"), values).collect()
+
+
 def test_every_copy_of_a_hot_group_is_compared(spark):
     rng = random.Random(8)
     whole = " ".join(sentence(rng) for _ in range(40))
@@ -51,8 +56,7 @@ def test_every_copy_of_a_hot_group_is_compared(spark):
     finished = "Nothing more was said. " + whole[: whole.rindex(". ")] + "."
     texts = [bare] * 20 + [whole] + [finished] * 20 + [bare] * 20
     values = spark.createDataFrame([(i, "content", t) for i, t in enumerate(texts)], "id long, field string, text string")
-    ends = spark.createDataFrame([(i, "content", t, False) for i, t in enumerate(texts) if t == bare], "id long, field string, text string, cut boolean")
-    got = {r["id"]: r["verdict"] for r in truncation.copies_judged(ends, values).collect()}
+    got = {r["id"]: r["verdict"] for r in copies_judged(values)}
     assert got == {i: 1 for i, t in enumerate(texts) if t == bare}
 
 
@@ -65,12 +69,39 @@ def test_copy_in_the_middle_proves_the_cut(spark):
     mute = [" ".join(bare.split()[:-2]) + " " + "long" * 20 + str(k) for k in range(12)]  # without the open value's last words
     texts = [*mute[:6], bare, whole, *mute[6:]]
     values = spark.createDataFrame([(i, "content", t) for i, t in enumerate(texts)], "id long, field string, text string")
-    ends = spark.createDataFrame([(6, "content", bare, False)], "id long, field string, text string, cut boolean")
-    assert [(r["id"], r["verdict"]) for r in truncation.copies_judged(ends, values).collect()] == [(6, 1)]
+    assert (6, 1) in [(r["id"], r["verdict"]) for r in copies_judged(values)]
+
+
+def test_statistics_do_not_depend_on_batches(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        body = " ".join(sentence(rng) for _ in range(5))
+        rows.append((i, "A title of the story", f"About {i} in the", body[: 90 + i] if i % 7 == 0 else body.removesuffix(".") if i % 5 == 0 else body))
+    df = spark.createDataFrame(rows, "id long, title string, description string, content string")
+    seen = []
+    for size in (7, 100, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        seen.append(sorted(tuple(r) for r in truncation.judged_values(df).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 300
+
+
+@pytest.mark.parametrize(
+    "text, state",
+    [
+        (None, None), ("  ", None), ("It closed.", None), ("It closed", ("open", "It closed")), ("It cl…", ("open", "It cl")), ("It closed...", ("open", "It closed")), ("It closed. …", None),
+        ("It closed [+90 chars]", ("cut", "")), ("It closed &am", ("cut", "")), ("It closed,", ("cut", "")), ("It closed. (By " + "a hand " * 60 + ")", None), ("It closed (by " + "a hand " * 60 + ")", ("open", "It closed (by " + "a hand " * 60 + ")")),
+        ("It closed.\n***", None), ("It closed.\n" + "-" * 300, None), ("It rose by 3.", ("open", "It rose by 3")), ("It rose 3%", ("open", "It rose 3%")),
+    ],
+)
+def test_open_end(text, state):
+    assert truncation.open_end(text) == state
 
 
 def test_alignment_decides():
     whole = " ".join(sentence(random.Random(k)) for k in range(10))
+    assert truncation.judge(whole[len(whole) // 2 : -20], whole) == 1  # a part of the copy
     assert truncation.judge(whole[:-20], whole) == 1
     assert truncation.judge(whole.rpartition(". ")[0], whole) == 0
     assert truncation.judge("nothing alike in these few words", whole) is None
