@@ -23,7 +23,7 @@ that nobody asked for, and nothing is missed.
 
 Defined results: null and blank values are never cut. Repeated rows are judged alike. Values in scripts without the stops
 ``. ! ?`` are judged by terminality alone. A value of whose closing contexts none has support is no cut. Statistics cover
-all rows and do not depend on how rows fall into batches. Values below six words have no shingle before their last one.
+all rows and do not depend on how rows fall into batches. Values of fewer than ``LEAST`` shingles are judged by terminality.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ from tidemark.scratch import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 WINDOW = 32  # shingles before the last word that are banded
+LEAST = 16  # shingles an open value has at least; fewer may be a common phrase and tell no copy
 BANDS, BAND_ROWS = 6, 3
 BROADCAST_IDS = 1_000_000  # candidate ids below this many (8 MB) are broadcast to the texts, above they are joined by shuffle
 FREQUENT = 0.0005  # share of values from which a word counts by itself, at most (words a value) / FREQUENT words
@@ -332,9 +333,9 @@ def end_contexts(scanned: DataFrame, known: dict[str, float]) -> DataFrame:
             c = [next(own) if n else None for n in p.sizes]
             shingles = [shingles_of(text_words(open_end(t)[1])[:-1]) if not marked else shingles_of(_NONE) for marked, t in zip(cut, part.column(3).to_pylist(), strict=True)]
             sizes = np.fromiter(map(len, shingles), np.int64, len(shingles))
-            stops, full = np.cumsum(sizes), sizes > 0
+            stops, full = np.cumsum(sizes), sizes >= LEAST
             banded = iter(window_bands(np.concatenate(shingles), np.maximum(stops - sizes, stops - WINDOW)[full], stops[full]).view(np.int64).tolist() if full.any() else [])
-            anchors = [x[-1].view(np.int64) if len(x) else None for x in shingles]
+            anchors = [x[-1].view(np.int64) if f else None for x, f in zip(shingles, full, strict=True)]
             bands = [next(banded) if f else None for f in full]
             longs = pa.list_(pa.int64())
             whole = [bool(t) and class_of(t[-1], known)[0] not in CLASSES for t in closing]
