@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,14 +98,76 @@ def greedy(rows, threshold=0.65):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"together": 1, "solve_rows_at_once": 0}, {"together": 2, "merge_runs": 2}])
-def test_forest_equals_greedy(spark, options):
-    rows = articles()
+@pytest.mark.parametrize("options, batches", [({"bucket_rows": 64}, 6), ({"solve_rows_at_once": 0}, 2)])
+def test_forest_equals_greedy(spark, options, batches):
+    rows = [r for r in articles() if r[3] < batches]
     df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
     got = {tuple(r) for r in hash_forest.deduplicate(df, **options).collect()}
     assert got == greedy(rows)
 
 
+def test_forest_goes_on_from_its_state(spark):
+    rows = [r for r in articles(7) if r[3] < 4]
+    df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
+    forest = hash_forest.HashForest(spark, bucket_rows=640)
+    got = [forest.add_batch(df.where(F.col("batch_no") == k)) for k in range(2)]
+    again = hash_forest.HashForest.resume(spark, forest.save(), bucket_rows=640)
+    assert [r[:3] for r in again.runs] == [r[:3] for r in forest.runs] and again.titles == forest.titles == 80
+    got += [again.add_batch(df.where(F.col("batch_no") == k)) for k in (2, 3)]
+    assert {tuple(r) for g in got for r in g.collect()} == greedy(rows)
+    assert sum(r.rows for r in again.runs) == len(rows) - len(greedy(rows)) and len(again.runs) < 5
+
+
+def test_lookup_reads_few_files(spark):
+    """A small batch reads the files of its own leaves, titles and pages, not the history."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(NAMES, 9)), f"https://a.example/p{i}", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
+    forest = hash_forest.HashForest(spark, bucket_rows=1000)
+    forest.add_batch(df)
+
+    def files(kind, buckets):
+        found = forest.stored(kind, buckets)
+        scan = found._jdf.queryExecution().executedPlan().toString()
+        filters = scan.partition("PartitionFilters: [")[2].partition("]")[0]
+        return found.select(F.input_file_name()).distinct().count(), "p#" in filters
+
+    for kind in (hash_forest.TITLE, hash_forest.LEAF, hash_forest.PAGE):
+        assert files(kind, None)[0] > 32
+        few, pruned = files(kind, [0, 1, 2000])
+        assert few <= 3 and pruned
+
+
+def test_titles_of_frequent_words_are_widened():
+    rng = random.Random(2)
+    common = np.full(1 << hash_forest.BITS, 500_000)
+    rule = hash_forest.Rule(1_000_000, common)
+    tokens = np.array([[[rng.randrange(1 << hash_forest.BITS) for _ in range(hash_forest.DEPTH)] for _ in range(hash_forest.TREES)]])
+    assert (rule.depths(tokens) == hash_forest.DEPTH).all()
+    title, node = hash_forest.leaves(tokens, rule, hash_forest.THRESHOLD)
+    cut = {sum(1 for k in range(hash_forest.DEPTH) if int(n) >> (hash_forest.BITS * k) & ((1 << hash_forest.BITS) - 1)) for n in node}
+    assert min(cut) < hash_forest.DEPTH and hash_forest.recall_of(np.full((1, hash_forest.TREES), min(cut)), hash_forest.THRESHOLD)[0] >= hash_forest.RECALL
+
+
+def test_null_batches_come_last(spark):
+    rows = [(1, "one two three four", None, None), (2, "one two three four", None, 3), (3, None, "http://a.example/x", None), (4, "five six", "https://www.a.example/x/", 1)]
+    df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
+    assert {tuple(r) for r in hash_forest.deduplicate(df).collect()} == {(2, 1), (4, 3)}
+
+
+def test_hot_group_of_variants(spark):
+    """A third of all rows are variants of one title: they meet its accepted member, not one another."""
+    rng = random.Random(6)
+    base = rng.sample(NAMES, 12)
+    rows = []
+    for i in range(600):
+        words = list(base) if i % 3 == 0 else rng.sample(NAMES, 12)
+        words[rng.randrange(12)] = f"x{i}"
+        rows.append((i, " ".join(words), None, 0))
+    df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
+    assert {tuple(r) for r in hash_forest.deduplicate(df, piece=40).collect()} == greedy(rows)
+
+
 def test_forest_of_nothing(spark):
     df = spark.createDataFrame([], "id long, title string, url string, batch_no int")
     assert hash_forest.deduplicate(df).count() == 0
