@@ -168,6 +168,25 @@ def test_leakage_equals_brute_force(spark):
     assert none.count() == 0
 
 
+def test_leakage_in_blocks_and_small_segments(spark, monkeypatch):
+    """Blocks of items and many segments give what one of each gives."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(40)] + ["the"] * 20
+    items = spark.createDataFrame([(k, " ".join(rng.choice(vocabulary) for _ in range(30))) for k in range(12)], "item_id long, text string")
+    texts = [r["text"] for r in items.collect()]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(30)) + " " + " ".join(texts[i % 12].split()[i % 9 : i % 9 + 15])) for i in range(60)], "doc_id long, text string")
+    index = leakage.build_index(docs)
+    one = sorted(map(tuple, leakage.phrase_matches(index, items).collect())), sorted(map(tuple, leakage.proximity_matches(index, items).collect()))
+    monkeypatch.setattr(leakage, "SEGMENT_TOKENS", 100)
+    small = leakage.build_index(docs)
+    assert small.count() > index.count()
+    blocks = list(leakage.item_blocks(items, size=70))
+    assert len(blocks) == 6 and sum(len(b.ids) for b in blocks) == 12
+    schema = "doc_id long, item_id long, n long"
+    assert sorted(tuple(r) for b in blocks for r in leakage._phrases(small, b, 13, schema).collect()) == one[0] and len(one[0]) >= 60
+    assert sorted(tuple(r) for b in blocks for r in leakage._proximity(small, b, 8, 6, 60, schema.replace("n long", "n int")).collect()) == one[1]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zeta x eta y theta z iota kappa lambda"), (2, "zeta " + "pad " * 200 + "eta theta " + "pad " * 200 + "iota kappa lambda")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "lambda kappa iota theta eta zeta")], "item_id long, text string")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chosen_path, encoding_repair, hash_forest, leakage, nearest_time, packing, truncation
-from tidemark.scratch import materialize
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,13 +51,13 @@ def _pack(pack_name: str) -> Query:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and evaluation item that share at least 13 consecutive words."""
-    index = materialize(leakage.build_index(table(spark, sf_dir, "documents")), "index")
+    index = leakage.stored_index(spark, table(spark, sf_dir, "documents"), sf_dir)
     return leakage.phrase_matches(index, table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold most of an item's rarest words close together."""
-    index = materialize(leakage.build_index(table(spark, sf_dir, "documents")), "index")
+    index = leakage.stored_index(spark, table(spark, sf_dir, "documents"), sf_dir)
     return leakage.proximity_matches(index, table(spark, sf_dir, "eval_items"))
 
 
