@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators.nested import child_rows, label_nodes, link_tables, node_table, read_object, walk
+from tidemark.operators.nested import child_rows, flat_table, label_nodes, link_tables, node_table, read_object, walk
 
 ENTRY = "struct<ticker:string,company:string,impact_type:string,direction:string,confidence:double,reasoning:string>"
 PREDICTION = (
@@ -64,3 +64,13 @@ def test_tables_link_by_containment(spark):
     entries, tickers = node_table(nodes, "directly_affected[]"), node_table(nodes, "directly_affected[].ticker")
     linked = link_tables(entries, tickers, {"pos": "entry_pos"})
     assert sorted((r["id"], r["entry_pos"], r["value"]) for r in linked.collect()) == [(1, 0, "AB"), (1, 1, "CD"), (2, 0, "AB"), (2, 1, "CD")]
+
+
+def test_flat_tables(spark):
+    struct = (None, None, None, [("AB", "Abc", None, "UP", 0.5, None), None, (None,) * 6], None, None, (True, None, None, False), None)
+    raw = json.dumps({"directly_affected": {"ticker": "ZZ", "confidence": "high", "reasoning": ["a"]}, "data_quality": {"article_date": 5}})
+    nodes = label_nodes(rows(spark, [(1, struct, None, None), (2, None, raw, None), (3, None, None, None)]))
+    assert sorted(map(tuple, flat_table(nodes, "directly_affected").collect())) == [(1, 0, "AB", "Abc", None, "UP", "0.5", None), (1, 2, None, None, None, None, None, None), (2, 0, "ZZ", None, None, None, "high", None)]
+    assert sorted(map(tuple, flat_table(nodes, "macro_flags").collect())) == [(1, "true", None, None, "false")]
+    assert sorted(map(tuple, flat_table(nodes, "data_quality").collect())) == [(2, "5", None, None)]
+    assert flat_table(nodes, "indirectly_affected").count() == 0

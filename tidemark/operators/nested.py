@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LISTS = ("directly_affected", "indirectly_affected")
-# The named fields of the two structs.
+# The named fields of the two structs and of the entries of the two lists.
 STRUCTS = {
     "macro_flags": ("currency_risk", "interest_rate_sensitive", "commodity_price_sensitive", "regulatory_change"),
     "data_quality": ("article_date", "source_credibility", "ambiguity_notes"),
 }
+ENTRY = ("ticker", "company", "impact_type", "direction", "confidence", "reasoning")
 _DECODER = json.JSONDecoder()
 
 
@@ -151,6 +152,22 @@ def link_tables(parents: DataFrame, children: DataFrame, parent_cols: dict[str,
     return children.join(p, holds, "inner").drop("__id", "__pre", "__post")
 
 
+def flat_table(nodes: DataFrame, kind: str) -> DataFrame:
+    """The flat table of ``directly_affected`` or ``indirectly_affected`` (id, pos, a column a field of ``ENTRY``), or of
+    ``macro_flags`` or ``data_quality`` (id, a column a named field): a row for each entry or struct, also one without
+    fields. Values are text as stored; a field that is no single value is null. A row's fields are the leaves whose
+    interval lies in its own."""
+    listed = kind in LISTS
+    fields = ENTRY if listed else STRUCTS[kind]
+    own = f"{kind}[]" if listed else kind
+    parents = node_table(nodes, own)
+    leaves = nodes.where(F.col("node_type").isin([f"prediction.{own}.{f}" for f in fields]) & F.col("is_leaf"))
+    linked = link_tables(parents, leaves, {"pre": "row"}).select("id", "row", "name", "value")
+    values = linked.groupBy("id", "row").agg(*[F.max(F.when(F.col("name") == f, F.col("value"))).alias(f) for f in fields])
+    rows = parents.select("id", F.col("pre").alias("row"), *(["pos"] if listed else [])).join(values, ["id", "row"], "left")
+    return rows.select(F.col("id").alias("extraction_id"), *(["pos"] if listed else []), *fields)
+
+
 def child_rows(df: DataFrame) -> DataFrame:
     """(extraction_id, child_kind, pos, child_key) of every child of every extraction, see ``label_nodes``.
 

@@ -43,6 +43,19 @@ def p1_nodes(spark, d):
     return nested.label_nodes(table(spark, d, "extractions"))
 
 
+def _flat(kind: str) -> Query:
+    def run(spark, d):
+        return nested.flat_table(materialize(nested.label_nodes(table(spark, d, "extractions")), "nodes"), kind)
+
+    run.__name__ = f"p1_{kind}"
+    run.__doc__ = f"The flat table of ``{kind}``, its fields linked to its rows by interval containment."
+    return run
+
+
+for _kind in (*nested.LISTS, *nested.STRUCTS):
+    query(_flat(_kind))
+
+
 @query
 def p3_found(spark, d):
     """Every readable stamp not yet canonical, with its UTC second."""

@@ -13,6 +13,32 @@ _MOVED = f"""prices AS ({_PRICES}), preds AS ({_PREDICTIONS}),
  moved AS (SELECT p.*, a.t0_day, a.price_t0, b.tn_day, b.price_tn, CASE WHEN price_t0 <> 0 THEN (price_tn - price_t0) / price_t0 * 100 END AS pct_change FROM preds p LEFT JOIN a USING (id) LEFT JOIN b USING (id)),
  labelled AS (SELECT *, CASE WHEN pct_change >= 1.5 THEN 'UP' WHEN pct_change <= -1.5 THEN 'DOWN' ELSE 'NEUTRAL' END AS price_label FROM moved),
  l AS (SELECT *, predicted_direction = price_label AS correct FROM labelled)"""
+# The object of each extraction as JSON: the struct, or what its reply holds, be it quoted or set in other text.
+_OBJECTS = """r AS (SELECT extraction_id, CASE WHEN json_valid(raw_reply) THEN CASE WHEN json_type(raw_reply) = 'VARCHAR' THEN raw_reply::JSON->>'$' ELSE raw_reply END
+  ELSE regexp_extract(raw_reply, '\\{.*\\}', 0, 's') END AS t FROM extractions WHERE prediction IS NULL AND raw_reply IS NOT NULL),
+ j AS (SELECT extraction_id, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'OBJECT' THEN CASE WHEN json_exists(t, '$.prediction') THEN t::JSON->'$.prediction' ELSE t::JSON END END END AS p FROM r
+  UNION ALL SELECT extraction_id, to_json(prediction) AS p FROM extractions WHERE prediction IS NOT NULL),
+ o AS (SELECT extraction_id, p FROM j WHERE p IS NOT NULL AND json_type(p) = 'OBJECT'),
+ l AS (SELECT extraction_id, k, CASE json_type(x) WHEN 'ARRAY' THEN from_json(x, '["JSON"]') WHEN 'OBJECT' THEN [x] ELSE [] END AS xs
+  FROM (SELECT extraction_id, k, p->('$.' || k) AS x FROM o, unnest(['directly_affected', 'indirectly_affected']) u(k)) WHERE x IS NOT NULL),
+ e AS (SELECT extraction_id, k, unnest(xs) AS e, generate_subscripts(xs, 1) - 1 AS pos FROM l)"""
+_ENTRY = ("ticker", "company", "impact_type", "direction", "confidence", "reasoning")
+_FIELDS = {"macro_flags": ("currency_risk", "interest_rate_sensitive", "commodity_price_sensitive", "regulatory_change"), "data_quality": ("article_date", "source_credibility", "ambiguity_notes")}
+
+
+def _leaf(x: str, field: str) -> str:
+    return f"CASE WHEN json_type({x}, '$.{field}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {x}->>'$.{field}' END"
+
+
+def _flat(kind: str) -> str:
+    if kind in _FIELDS:
+        columns = ", ".join(f"{_leaf('x', f)} AS {f}" for f in _FIELDS[kind])
+        return f"WITH {_OBJECTS} SELECT extraction_id, {columns} FROM (SELECT extraction_id, p->'$.{kind}' AS x FROM o) WHERE x IS NOT NULL AND json_type(x) <> 'NULL'"
+    columns = ", ".join(f"{_leaf('e', f)} AS {f}" for f in _ENTRY)
+    return f"WITH {_OBJECTS} SELECT extraction_id, pos::BIGINT AS pos, {columns} FROM e WHERE k = '{kind}' AND e IS NOT NULL AND json_type(e) <> 'NULL'"
+
+
+_P1_FIELDS = " UNION ALL ".join(f"SELECT extraction_id, '{k}' AS child_kind, 0 AS pos, '{f}' AS child_key FROM o WHERE json_type(p, '$.{k}.{f}') <> 'NULL'" for k, fs in _FIELDS.items() for f in fs)
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY time)"
 _SERIES = f"series AS (SELECT ticker, day AS time, close, volume FROM ({_PRICES}))"
 _SENTIMENT = "sentiment AS (SELECT (o_custkey % (SELECT count(*) FROM supplier))::VARCHAR AS ticker, o_orderdate AS created_at, ((o_orderkey * 37) % 201 - 100) / 100.0::DOUBLE AS sentiment_score FROM orders)"
@@ -50,6 +76,9 @@ _ERRORS = f"""errs AS (SELECT extraction_id,
 , (1) AS one FROM extractions, (SELECT list(ticker) AS known FROM companies) WHERE prediction IS NOT NULL)"""
 
 SQL: dict[str, str] = {
+    **{f"p1_{k}": _flat(k) for k in ("directly_affected", "indirectly_affected", *_FIELDS)},
+    "p1_found": f"""WITH {_OBJECTS} SELECT extraction_id, k AS child_kind, pos::BIGINT AS pos, coalesce(e->>'$.ticker', '') AS child_key FROM e WHERE e IS NOT NULL AND json_type(e) <> 'NULL'
+ UNION ALL SELECT extraction_id, child_kind, pos::BIGINT AS pos, child_key FROM ({_P1_FIELDS})""",
     "daily_prices": f"SELECT ticker, day, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, volume FROM ({_PRICES})",
     "price_change_forward_asof": f"WITH {_MOVED} SELECT id, ticker, t0_day, round(price_t0, 6) AS price_t0, tn_day, round(price_tn, 6) AS price_tn, round(pct_change, 6) AS pct_change FROM moved",
     "labeled_predictions": f"WITH {_MOVED} SELECT id, predicted_direction, price_label, correct FROM l",
