@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import features
+from tidemark.operators import features, model
 from tidemark.sources import files
 from tidemark.streaming import streams
 
@@ -37,10 +37,9 @@ def test_rolling_features_equal_pandas(frames):
             np.testing.assert_allclose(mine[c].astype(float).to_numpy(), e.to_numpy(), rtol=1e-9)
 
 
-@pytest.mark.parametrize("form", [features.rsi, features.rsi_folded])
-def test_rsi_equals_pandas(frames, form):
+def test_rsi_equals_pandas(frames):
     pdf, df = frames
-    got = form(df).toPandas().sort_values(["ticker", "time"])
+    got = features.rsi(df).toPandas().sort_values(["ticker", "time"])
     for name, own in pdf.groupby("ticker"):
         d = own.close.diff()
         rs = d.clip(lower=0).ewm(com=13, adjust=False).mean() / (-d.clip(upper=0)).ewm(com=13, adjust=False).mean()
@@ -71,7 +70,10 @@ def workbook(rows):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Sheet1" sheetId="1"/></sheets></workbook>')
+        rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/><sheet name="Sheet1" sheetId="2" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet2.xml"/><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData/></worksheet>")
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()
 
@@ -94,6 +96,7 @@ def test_json_lines_and_links(spark, tmp_path):
     assert sorted(r[0] for r in kinds) == ["legal", "macro"]
     assert files.latest_file(spark, str(tmp_path)).endswith("news_a.jsonl")
     assert files.latest_file(spark, str(tmp_path / "none")) is None
+    assert files.having_key(lines, "event_type").count() == 1 and files.having_key(lines, "prediction").count() == 2
     pages = spark.createDataFrame([(1, '<a href="/n/x">T <b>x</b></a><time datetime="2024-01-01">1 Jan</time><a href="/n/x">again</a><a href="/o">no</a>'), (2, None), (3, "<a href='/n/y'>")], "page_id long, html string")
     got = files.page_links(pages, "https://h.example/", "/n/").collect()
     assert [tuple(r) for r in got] == [(1, "https://h.example/n/x", "T x", "2024-01-01")]
@@ -103,15 +106,23 @@ def test_streams_equal_batch(spark, tmp_path):
     rows = [(i % 5, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "user_id long, ts timestamp, value double")
     df.write.parquet(str(tmp_path / "in"))
+    streams.enqueue(df.limit(0), str(tmp_path / "in"))
     stream = streams.file_queue(spark, str(tmp_path / "in"), df.schema)
-    streams.run_available(streams.deduplicated(stream, ["user_id"]), "t_dedup", str(tmp_path / "c1"))
-    assert spark.table("t_dedup").count() == 5
-    streams.run_available(streams.deduplicated(stream, ["user_id"], "ts", "30 days"), "t_dedup2", str(tmp_path / "c2"))
-    assert spark.table("t_dedup2").count() == 5
-    streams.run_available(streams.daily_means(stream, "user_id", "ts", "value"), "t_daily", str(tmp_path / "c3"))
+    run = lambda s, n, *more: streams.run_available(s, str(tmp_path / f"o{n}"), str(tmp_path / f"c{n}"), *more)
+    assert run(streams.deduplicated(stream, ["user_id"]), 1).count() == 5
+    assert run(streams.deduplicated(stream, ["user_id"], "ts", "30 days"), 2).count() == 5
+    daily = run(streams.daily_means(stream, "user_id", "ts", "value"), 3, "update", ["user_id", "day"])
     batch = {(r["user_id"], r["d"]): r["m"] for r in df.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.avg("value").alias("m")).collect()}
-    got = {(r["user_id"], r["day"]): r["mean"] for r in spark.table("t_daily").collect()}
-    assert got and all(batch[k] == v for k, v in got.items())
+    assert {(r["user_id"], r["day"]): r["mean"] for r in daily.collect()} == batch  # windows no watermark has closed too
+
+
+def test_chained_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.9), (2, 0.1)], "id long, p double")
+    df.write.parquet(str(tmp_path / "q"))
+    steps = [(lambda b: b.withColumn("side", F.when(F.col("p") > 0.5, "UP")), str(tmp_path / "predictions")), (lambda b: b.where("side = 'UP'").select("id"), str(tmp_path / "alerts"))]
+    streams.chained(streams.file_queue(spark, str(tmp_path / "q"), df.schema), steps, str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "predictions")).count() == 2
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [1]
 
 
 def test_queue_quarantines_failures(spark, tmp_path):
@@ -124,10 +135,22 @@ def test_queue_quarantines_failures(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
 
 
-def test_boosting_defaults_are_those_of_the_reference():
-    import inspect
-
-    from tidemark.operators import model
-
-    given = {k: v.default for k, v in inspect.signature(model.train).parameters.items()}
-    assert (given["rounds"], given["depth"], given["rate"], given["seed"]) == (100, 3, 0.05, 42)
+def test_models_by_ticker(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = []
+    for ticker, n in (("learns", 300), ("short", 20), ("same", 80)):
+        x = rng.normal(size=(n, len(features.FEATURES)))
+        x[0, 0] = np.inf
+        for i in range(n):
+            rows.append((ticker, dt.date(2020, 1, 1) + dt.timedelta(days=i), *map(float, x[i]), int(x[i, 3] > 0.2) if ticker == "learns" else 1))
+    frame = spark.createDataFrame(rows, "ticker string, time date, " + ", ".join(f"{f} double" for f in features.FEATURES) + ", target int")
+    model.save(model.train(frame), str(tmp_path / "m"))
+    models = model.load(spark, str(tmp_path / "m"))
+    got = {r["ticker"]: (r["accuracy"], r["n_train"], r["n_test"]) for r in models.collect()}
+    assert set(got) == {"learns", "same"} and got["learns"][0] > 0.9 and got["learns"][1:] == (240, 60) and got["same"][0] == 1.0
+    assert model.load(spark, str(tmp_path / "m"), "learns").count() == 1 and model.load(spark, str(tmp_path / "none")).count() == 0
+    last = {r["ticker"]: (r["probability"], r["predicted_direction"]) for r in model.predict_latest(models, frame).collect()}
+    expected = {t: next(r[-1] for r in reversed(rows) if r[0] == t) for t in got}
+    assert {t: d for t, (_, d) in last.items()} == expected and all(0 < p < 1 for p, _ in last.values())
+    assert model.train(frame, days=30).count() == 0 and model.train(frame.limit(0)).count() == 0
+    assert (model.ROUNDS, model.TREE_DEPTH, model.RATE, model.LEAST_ROWS) == (100, 3, 0.05, 50)

@@ -69,16 +69,34 @@ def test_metrics(spark):
 
 
 def test_validation(spark):
-    e = "struct<ticker:string,direction:string,impact_type:string,confidence:double>"
-    good, other = ("KCB", "UP", "direct", 0.85), ("EQTY", "NEUTRAL", "competitor", 0.4)
-    data = [("ok", ("legal", [good], [other])), ("many", ("gossip", [("FAKE", "SIDEWAYS", "rumour", 1.5)], None)), ("both", ("legal", [good], [good])), ("null", None), ("entry", ("legal", [None], [])), ("nan", ("legal", [("KCB", "UP", "direct", float("nan"))], []))]
-    df = spark.createDataFrame(data, f"k string, p struct<event_type:string,directly_affected:array<{e}>,indirectly_affected:array<{e}>>")
+    import json
+
+    good, other = {"ticker": "KCB", "direction": "UP", "impact_type": "direct", "confidence": 0.85}, {"ticker": "EQTY", "direction": "NEUTRAL", "impact_type": "competitor", "confidence": 0.4}
+    p = lambda direct, indirect=(), event="legal": json.dumps({"event_type": event, "directly_affected": direct, "indirectly_affected": indirect})
+    bad = {"ticker": "FAKE", "direction": "SIDEWAYS", "impact_type": "rumour", "confidence": 1.5}
+    data = [
+        ("ok", p([good], [other])), ("many", p([bad], None, "gossip")), ("both", p([good], [good])), ("null", None), ("text", "no object"), ("entry", p([None])), ("missing", '{"event_type": "macro"}'),
+        ("object", p(good)), ("words", p("KCB")), ("string", p([{**good, "confidence": "0.8"}])), ("boolean", p([{**good, "confidence": True}])), ("nothing", p([{**good, "confidence": None}])), ("empty", p([{}])),
+    ]
+    df = spark.createDataFrame(data, "k string, record string")
     companies = spark.createDataFrame([("KCB",), ("EQTY",)], "ticker string")
-    checked = validate.with_errors(df, F.col("p"), companies)
+    checked = validate.with_errors(df, F.col("record"), companies)
     n = {r["k"]: r["errors"] for r in checked.collect()}
-    assert n["ok"] == [] and len(n["many"]) == 5 and n["both"] == ["in both groups: KCB"] and n["null"] == ["prediction is not an object"] and len(n["entry"]) == 4 and len(n["nan"]) == 1
+    assert n["ok"] == [] and len(n["many"]) == 5 and n["both"] == ["in both groups: KCB"] and n["null"] == n["text"] == ["prediction is not an object"] and len(n["entry"]) == 4
+    assert n["missing"] == n["boolean"] == [] and n["object"] == n["words"] == ["no list: directly_affected"]
+    assert n["string"] == n["nothing"] == ["invalid confidence for KCB"] and len(n["empty"]) == 4
     valid, invalid = validate.split_valid(checked)
-    assert (valid.count(), invalid.count()) == (1, 5)
+    assert (valid.count(), invalid.count()) == (3, 10)
+
+
+def test_entities_to_labels(spark):
+    import json
+
+    records = [(1, json.dumps({"directly_affected": [{"ticker": "KCB", "direction": "UP", "confidence": 0.9}, None], "indirectly_affected": {"ticker": "EQTY", "direction": "DOWN"}, "data_quality": {"article_date": "2024-03-01"}})), (2, None), (3, '{"directly_affected": null}')]
+    entities = asof.affected_entities(spark.createDataFrame(records, "extraction_id long, record string"))
+    probes = entities.withColumn("d", scalars.strict_day(F.col("article_date")))
+    got = sorted((r["ticker"], r["pos"], r["price_label"], r["correct"]) for r in asof.label_predictions(probes, prices(spark), "d", "predicted_direction").collect())
+    assert got == [("EQTY", 0, "NEUTRAL", False), ("KCB", 0, "UP", True)]
 
 
 def test_scalars(spark):
@@ -87,6 +105,10 @@ def test_scalars(spark):
     assert tuple(got) == ("KCB Group Plc", "2020-06-01", "Co_Op Ord 1_00", '{"a": 1}', None, None)
     days = spark.createDataFrame([(x,) for x in ("2024-03-15", "15/03/2024", "15-03-2024", "March 15", "31-02-2024", "", None)], "d string")
     assert [r[0] for r in days.select(scalars.normalise_date(F.col("d")).cast("string")).collect()] == ["2024-03-15"] * 3 + [None] * 4
+    stamps = spark.createDataFrame([(x,) for x in ("2024-03-01T09:00:00+03:00", "2024-03-01 09:00:00", "2024-03-01", "soon", None)], "s string")
+    local = scalars.published_local(F.col("s"), F.lit("2000-01-01").cast("timestamp")).cast("string")
+    assert [r[0] for r in stamps.select(local).collect()] == ["2024-03-01 09:00:00"] * 2 + ["2024-03-01 00:00:00"] + ["2000-01-01 00:00:00"] * 2
+    assert row.select(scalars.preview(F.array(*[F.lit(str(i)) for i in range(7)])), scalars.days_before(F.lit("2024-03-01"), 1).cast("string")).first()[:] == ("0, 1, 2, 3, 4, …", "2024-02-29")
     div = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, 2.0), (None, 1.0)], "a double, b double")
     assert [str(r[0]) for r in div.select(scalars.ieee_divide(F.col("a"), F.col("b"))).collect()] == ["inf", "-inf", "nan", "0.5", "None"]
 
@@ -96,6 +118,8 @@ def test_news(spark):
     articles = spark.createDataFrame([(1, "ALPHA and beta", None, "", "u1"), (2, "ALPHA and beta", None, "", "u1"), (3, None, None, None, None), (4, "none", "x", "y", "")], "id long, title string, description string, content string, url string")
     assert {r["id"]: r["matched"] for r in news.match_companies(articles, companies).collect()} == {1: "AB,BE", 2: "AB,BE", 3: "MULTIPLE", 4: "MULTIPLE"}
     assert [r["id"] for r in news.first_by_hash(articles, [F.col("id")]).collect()] == [1]
+    assert news.new_by_hash(news.first_by_hash(articles, [F.col("id")]), articles, [F.col("id")]).count() == 0
+    assert [r["matched"] for r in news.match_companies(articles, companies.limit(0)).where("id = 1").collect()] == ["MULTIPLE"]
     assert sorted(r["id"] for r in news.union_sources(articles.where("id < 4"), articles.where("id = 4"), ["id"]).collect()) == [1, 3]
     assert news.insert_new(articles.where("id = 1"), articles.where("id = 2"), "url", [F.col("id")]).count() == 0
     assert sorted(tuple(r) for r in news.sector_peers(companies).collect()) == [("AB", "BE"), ("BE", "AB")]

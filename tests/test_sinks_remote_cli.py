@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark import cli
-from tidemark.sources import remote, sinks
+from tidemark import cli, settings
+from tidemark.sources import articles, remote, sinks
 
 
 def test_outside_calls(spark):
@@ -22,6 +22,12 @@ def test_outside_calls(spark):
 
     assert remote.with_retries(failing)("x") is None and len(calls) == 3
     assert remote.with_retries(failing, permanent=(OSError,))("x") is None and len(calls) == 4
+
+    def gone(x):
+        calls.append(x)
+        raise remote.Missing
+
+    assert remote.with_retries(gone)("x") is None and len(calls) == 5
     lost = remote.ask(asked, "request", remote.with_retries(lambda x: 1 / 0))
     assert lost.select("reply", remote.sentiment_score(F.col("reply")).alias("s")).first().asDict() == {"reply": None, "s": 0.0}
 
@@ -51,3 +57,30 @@ def test_command_line(spark, capsys):
     assert cli.main(["backtest", "--json"]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert lines[0]["total_predictions"] == 500
+
+
+def test_articles_and_graph(spark, tmp_path):
+    reply = {"status": "ok", "articles": [{"title": "T", "description": None, "url": "u", "publishedAt": "2024", "source": {"name": "S"}}, {"title": "V", "published_at": None, "publishedAt": "x", "source": "R"}]}
+    (tmp_path / "r.txt").write_text("\n".join([json.dumps(reply), json.dumps({**reply, "status": "error"}), "{broken"]))
+    got = [tuple(r) for r in articles.api_articles(spark, str(tmp_path / "r.txt"), "key").collect()]
+    assert got == [("T", "", "", "u", "2024", "S"), ("V", "", "", "", "", "R")]
+    assert articles.api_articles(spark, str(tmp_path / "r.txt"), None).count() == 0 and articles.api_articles(spark, str(tmp_path / "none"), "key").count() == 0
+    (tmp_path / "g.json").write_text(json.dumps({"companies": [{"ticker": "A", "name": "Alpha"}]}))
+    assert [tuple(r) for r in articles.graph_companies(spark, str(tmp_path / "g.json")).collect()] == [("A", "Alpha", None)]
+    companies = spark.createDataFrame([("A", "Alpha Plc"), ("B", "Beta/Co")], "ticker string, name string")
+    stems = spark.createDataFrame([("Alpha Plc Ord 5_00",), ("BETA_CO Ord 1",), ("Other Ord 1",)], "file_stem string")
+    assert {r["file_stem"]: r["ticker"] for r in articles.file_tickers(stems, companies).collect()} == {"Alpha Plc Ord 5_00": "A", "BETA_CO Ord 1": "B", "Other Ord 1": None}
+    one, two = (articles.generated_prices(companies, "2024-01-02", seed).collect() for seed in (1, 1))
+    assert one == two and all(10 <= r["open"] <= 150 and r["low"] <= r["high"] for r in one)
+
+
+def test_kept_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE kept LOCATION 'file://{tmp_path}/kept'")
+    try:
+        assert settings.health(spark, "kept")["status"] == "incomplete"
+        assert settings.create_tables(spark, "kept") == settings.create_tables(spark, "kept")
+        settings.add_feedback(spark, "kept", 7, True, "fine")
+        assert settings.health(spark, "kept") == {"status": "ok", "missing": []}
+        assert {r["table"]: r["n"] for r in settings.table_counts(spark, "kept").collect()}["feedback"] == 1
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")

@@ -46,7 +46,8 @@ def main(args: list[str] | None = None) -> int:
         sinks.write_securities(files.security_rows(files.workbooks(spark, a.folder)), a.out)
     elif a.command == "spine":
         names = spark.read.format("binaryFile").load(a.folder).select(F.substring_index("path", "/", -1).alias("file_name"))
-        files.missing_files(files.date_spine(spark, a.start, a.end), names).orderBy("day").show(400, truncate=False)
+        for row in files.missing_files(files.date_spine(spark, a.start, a.end), names).orderBy("day").toLocalIterator():
+            print(row["day"], row["file_name"])
     else:
         rows = files.synthetic_predictions(spark)
         if a.path:

@@ -74,10 +74,11 @@ def content_hash(title: Column, content: Column) -> Column:
     return F.md5(F.concat(title, F.coalesce(content, F.lit("None"))))
 
 
-def published_local(raw: Column) -> Column:
-    """An ISO stamp's calendar time, its offset dropped and not converted; null if it is none."""
+def published_local(raw: Column, fallback: Column) -> Column:
+    """An ISO stamp's calendar time, its offset dropped and not converted; ``fallback`` if it is none."""
     bare = F.regexp_replace(raw, r"(Z|[+-]\d{2}:\d{2})$", "")
-    return F.coalesce(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd")))
+    forms = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    return F.coalesce(*[F.when(F.length(bare) == len(f.replace("'", "")), F.try_to_timestamp(bare, F.lit(f))) for f in forms], fallback)
 
 
 def ieee_divide(a: Column, b: Column) -> Column:
@@ -108,6 +109,16 @@ def or_query(names: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(names, lambda n: F.concat(F.lit('"'), n, F.lit('"'))), " OR "), F.lit(")"))
 
 
+def days_before(as_of: Column, days: int) -> Column:
+    """The day ``days`` days before ``as_of``."""
+    return F.date_sub(F.to_date(as_of), days)
+
+
+def preview(items: Column, most: int = 5) -> Column:
+    """The first ``most`` of an array's entries as text, with an ellipsis where there are more."""
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, ", …").otherwise(""))
+
+
 def bar(value: Column, width: int = 20) -> Column:
     """A bar of ``#`` in proportion to a share."""
     return F.repeat(F.lit("#"), F.floor(value * width).cast("int"))

@@ -9,14 +9,13 @@ Defined results: null tickers or days resolve to null prices; ties cannot occur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import direction_label, percent_change, strict_day, to_number, trimmed
+from tidemark.operators.validate import DIRECTIONS, GROUPS, group_entries
 
 SEARCH_DAYS = 5
-# The three directions.
-DIRECTIONS = ("UP", "DOWN", "NEUTRAL")
 
 
 def latest_prices(raw: DataFrame, order: Column, ticker: str = "Stock Code", day: str = "Date", price: str = "Day's Final Price") -> DataFrame:
@@ -66,15 +65,17 @@ def label_predictions(predictions: DataFrame, prices: DataFrame, from_day: str,
     return out.where(F.col("pct_change").isNotNull()) if require_price else out
 
 
-def affected_entities(predictions: DataFrame, prediction: Column) -> DataFrame:
-    """One row an affected company, direct ones first: (article_date, ticker, company, impact_type, predicted_direction,
-    predicted_confidence). Null lists and entries give no rows."""
-    both = F.concat(F.coalesce(prediction["directly_affected"], F.array()), F.coalesce(prediction["indirectly_affected"], F.array()))
-    e = F.col("e")
-    rows = predictions.select(prediction["data_quality"]["article_date"].alias("article_date"), F.explode(both).alias("e")).where(e.isNotNull())
-    return rows.select("article_date", e["ticker"].alias("ticker"), e["company"].alias("company"), e["impact_type"].alias("impact_type"), e["direction"].alias("predicted_direction"), e["confidence"].alias("predicted_confidence"))
-
-
-def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+def affected_entities(records: DataFrame, id_col: str = "extraction_id") -> DataFrame:
+    """One row an affected company of (id_col, record as JSON text): (id_col, group, pos, article_date, ticker, company,
+    impact_type, predicted_direction, predicted_confidence). A lone object counts as a list of one; null lists and entries
+    give no rows."""
+    v = F.col("__v")
+    lists = []
+    for group in GROUPS:
+        one = F.try_variant_get(v, f"$.{group}", "variant")
+        listed = F.when(F.schema_of_variant(one).startswith("OBJECT"), F.array(one)).otherwise(group_entries(v, group))
+        lists.append(F.struct(F.lit(group).alias("group"), listed.alias("entries")))
+    rows = records.select(id_col, F.try_parse_json("record").alias("__v")).select(id_col, "__v", F.inline(F.array(*lists)))
+    each = rows.select(id_col, "group", F.try_variant_get(v, "$.data_quality.article_date", "string").alias("article_date"), F.posexplode("entries").alias("pos", "e")).where("e is not null and not is_variant_null(e)")
+    text = lambda f: F.try_variant_get("e", f"$.{f}", "string")
+    return each.select(id_col, "group", "pos", "article_date", text("ticker").alias("ticker"), text("company").alias("company"), text("impact_type").alias("impact_type"), text("direction").alias("predicted_direction"), F.try_variant_get("e", "$.confidence", "double").alias("predicted_confidence"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ieee_divide
 
+# The features, in the order of the model.
 FEATURES = ["ret_1d", "ret_5d", "ret_20d", "vol_change", "sma_20", "rsi_14", "score", "score_trend_3d"]
 WARMUP_DAYS, SENTIMENT_DAYS = 60, 10
 
@@ -46,7 +47,7 @@ def returns(prices: DataFrame, ticker: str = "ticker", time: str = "time") -> Da
 def rsi(prices: DataFrame, ticker: str = "ticker", time: str = "time", com: float = 13.0, out: str = "rsi_14") -> DataFrame:
     """``prices`` plus the RSI: gains and losses averaged with weight 1 / (1 + com), seeded with the first difference.
 
-    Rows are range-sorted by (ticker, time) within partitions of whole tickers and read in Arrow batches; the running
+    Rows are sorted by (ticker, time) within hash partitions of whole tickers and read in Arrow batches; the running
     averages are carried from batch to batch, so no series is held in memory as a whole.
     """
     alpha = 1.0 / (1.0 + com)
@@ -79,20 +80,6 @@ def rsi(prices: DataFrame, ticker: str = "ticker", time: str = "time", com: floa
     return ordered.mapInPandas(run, schema)
 
 
-def rsi_folded(prices: DataFrame, ticker: str = "ticker", time: str = "time", com: float = 13.0, out: str = "rsi_14") -> DataFrame:
-    """As ``rsi``, in the JVM: a fold over the series up to each row. Quadratic in the length of a series; for short ones."""
-    alpha = 1.0 / (1.0 + com)
-    w = _over(ticker, time)
-    step = prices.withColumn("__d", F.col("close") - F.lag("close").over(w))
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    gains = F.collect_list(F.when(F.col("__d").isNotNull(), F.greatest(F.col("__d"), F.lit(0.0)))).over(so_far)
-    losses = F.collect_list(F.when(F.col("__d").isNotNull(), F.greatest(-F.col("__d"), F.lit(0.0)))).over(so_far)
-    fold = lambda xs: F.aggregate(xs, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise((1 - alpha) * a + alpha * x))
-    folded = step.withColumns({"__g": gains, "__l": losses}).withColumns({"__up": fold(F.col("__g")), "__down": fold(F.col("__l"))})
-    value = F.when(F.col("__up").isNull() | ((F.col("__up") == 0) & (F.col("__down") == 0)), F.lit(None)).when(F.col("__down") == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("__up"), F.col("__down"))))
-    return folded.withColumn(out, value).drop("__d", "__g", "__l", "__up", "__down")
-
-
 def next_day_target(prices: DataFrame, ticker: str = "ticker", time: str = "time") -> DataFrame:
     """``prices`` plus target: 1 if the next close is higher, else 0; the last row is 0."""
     nxt = F.lead("close").over(_over(ticker, time))

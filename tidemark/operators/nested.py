@@ -71,6 +71,15 @@ def _quoted(text: str, at: int, depth: int) -> dict | None:
     return read_object(value, depth - 1) if isinstance(value, str) else None
 
 
+def reply_record(text: str | None) -> object:
+    """The record that a reply holds: its object, or what stands under that object's key ``prediction``."""
+    value = read_object(text)
+    if value is not None and "prediction" in value:
+        value = value["prediction"]
+        value = read_object(value) if isinstance(value, str) else value
+    return value
+
+
 def walk(record: dict, root: str = "prediction") -> list[tuple[str, str, int, int, int, int, bool, str | None]]:
     """Nodes (type, name, pos, depth, pre, post, is_leaf, value) of one record in depth-first order.
 
@@ -120,10 +129,7 @@ def label_nodes(df: DataFrame, id_col: str = "extraction_id", record: str = "pre
                 if record_text is not None:
                     value = json.loads(record_text)
                 else:
-                    value = read_object(raw_text)
-                    if value is not None and "prediction" in value:
-                        value = value["prediction"]
-                        value = read_object(value) if isinstance(value, str) else value
+                    value = reply_record(raw_text)
                 if not isinstance(value, dict):
                     continue
                 nodes = walk(_as_lists(value))
@@ -136,6 +142,22 @@ def label_nodes(df: DataFrame, id_col: str = "extraction_id", record: str = "pre
     return rows.mapInArrow(batches, "id long, node_type string, name string, pos long, depth int, pre long, post long, is_leaf boolean, value string")
 
 
+def record_json(df: DataFrame, id_col: str = "extraction_id", record: str = "prediction", raw: str = "raw_reply") -> DataFrame:
+    """(id_col, record): each row's record as JSON text: the struct, or the object its raw text holds; null if it holds none."""
+    rows = df.select(id_col, F.to_json(record).alias("record"), F.when(F.col(record).isNull(), F.col(raw)).alias("raw"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for text in batch.column("raw").to_pylist():
+                value = reply_record(text)
+                out.append(json.dumps(value) if isinstance(value, dict) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "record"])
+
+    typed = rows.where("record is not null").select(id_col, "record")
+    return typed.unionByName(rows.where("record is null").select(id_col, "raw").mapInArrow(batches, f"`{id_col}` {dict(df.dtypes)[id_col]}, record string"))
+
+
 def node_table(nodes: DataFrame, node_type: str, root: str = "prediction") -> DataFrame:
     """The flat table of one node type, e.g. ``directly_affected[]`` or ``macro_flags.currency_risk``."""
     return nodes.where(F.col("node_type") == f"{root}.{node_type}").drop("node_type")

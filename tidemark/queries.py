@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import asof, features, metrics, model, nested, news, timestamps, validate
 from tidemark.plans import roles
 from tidemark.scratch import materialize, new_path
-from tidemark.sources import files
+from tidemark.sources import articles, files
 from tidemark.sql import SQL  # noqa: F401
 from tidemark.streaming import streams
 from tidemark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-START, END = "1998-01-01", "1999-12-31"
 QUERIES: dict[str, Query] = {}
 
 
@@ -63,6 +62,11 @@ def p3_found(spark, d):
     return timestamps.normalised_moments(t("news_articles"), t("prices"), t("news_sources"), t("companies"))
 
 
+def _prices(spark, d):
+    """The daily prices, made once for both as-of searches."""
+    return materialize(roles.asof_prices(spark, d), "prices")
+
+
 @query
 def daily_prices(spark, d):
     """Cleaned daily prices."""
@@ -72,12 +76,12 @@ def daily_prices(spark, d):
 @query
 def price_change_forward_asof(spark, d):
     """First price from each order's day on, and from three days after the day found."""
-    moved = asof.price_change(roles.predictions(spark, d), roles.asof_prices(spark, d), "article_day")
+    moved = asof.price_change(roles.predictions(spark, d), _prices(spark, d), "article_day")
     return _rounded(moved.select("id", "ticker", "t0_day", "price_t0", "tn_day", "price_tn", "pct_change"), "price_t0", "price_tn", "pct_change")
 
 
 def _labelled(spark, d):
-    return asof.label_predictions(roles.predictions(spark, d), roles.asof_prices(spark, d), "article_day", "predicted_direction")
+    return asof.label_predictions(roles.predictions(spark, d), _prices(spark, d), "article_day", "predicted_direction")
 
 
 @query
@@ -113,7 +117,21 @@ def accuracy_by_ticker_top15(spark, d):
 @query
 def direction_distribution(spark, d):
     """Directions over all affected companies of the extractions."""
-    return metrics.distribution(asof.affected_entities(table(spark, d, "extractions"), F.col("prediction")), "predicted_direction")
+    return metrics.distribution(_entities(spark, d), "predicted_direction")
+
+
+def _entities(spark, d):
+    return asof.affected_entities(nested.record_json(table(spark, d, "extractions")))
+
+
+@query
+def entity_labels(spark, d):
+    """Every affected company of every extraction against the change of its price from the article's day on."""
+    rows = table(spark, d, "prices").select(F.upper("Stock Code").alias("Stock Code"), "Date", "Day's Final Price", "price_id")
+    prices = materialize(asof.latest_prices(rows, F.col("price_id")), "prices")
+    entities = _entities(spark, d).withColumn("article_day", scalars.strict_day(F.substring("article_date", 1, 10)))
+    labelled = asof.label_predictions(entities, prices, "article_day", "predicted_direction")
+    return _rounded(labelled.select("extraction_id", "group", "pos", "ticker", "article_day", "t0_day", "tn_day", "pct_change", "price_label", "correct"), "pct_change")
 
 
 @query
@@ -171,13 +189,19 @@ def sentiment_daily(spark, d):
 @query
 def feature_frame(spark, d):
     """M4: A9, W1-W9, J5, P13, P14."""
-    return _rounded(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END), "close", *features.FEATURES)
+    return _rounded(_frame(spark, d), "close", *features.FEATURES)
+
+
+def _frame(spark, d):
+    """The features of the whole table, from its first day to its last."""
+    days = _series(spark, d).agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    return features.feature_frame(_series(spark, d), roles.sentiment(spark, d), days["a"], days["b"])
 
 
 @query
 def latest_features(spark, d):
     """W10."""
-    return _rounded(features.latest_features(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END)), "close", *features.FEATURES)
+    return _rounded(features.latest_features(_frame(spark, d)), "close", *features.FEATURES)
 
 
 @query
@@ -207,10 +231,18 @@ def competitor_pairs(spark, d):
 
 @query
 def news_dedup_hash(spark, d):
-    """The first article of each content hash."""
+    """The first article of each content hash."""
     return news.first_by_hash(table(spark, d, "news_articles"), [F.col("id")]).select("id", "content_hash")
 
 
+@query
+def news_dedup_stored_hash(spark, d):
+    """Of the later batches, what the stored first one lacks by content hash."""
+    articles = table(spark, d, "news_articles").select("id", "title", "content", "url", "batch_no")
+    stored = news.first_by_hash(articles.where("batch_no = 0"), [F.col("id")])
+    return news.new_by_hash(stored, articles.where("batch_no > 0"), [F.col("id")]).select("id", "content_hash")
+
+
 @query
 def news_dedup_first_url(spark, d):
     """What an insert-or-ignore of the later batches into the first one adds."""
@@ -238,15 +270,15 @@ def price_upsert(spark, d):
 @query
 def ticker_text_match(spark, d):
     """The companies named in each article."""
-    return news.match_companies(table(spark, d, "news_articles"), table(spark, d, "companies")).select("id", "matched")
+    return news.match_companies(table(spark, d, "news_articles"), table(spark, d, "companies"))
 
 
 @query
 def ticker_ilike_match(spark, d):
-    """Suppliers whose name holds a customer's number."""
-    symbols = table(spark, d, "companies").select(F.crc32("ticker").alias("id"), F.col("ticker").alias("symbol"))
-    rows = table(spark, d, "orders").select("o_orderkey", F.substring("o_orderstatus", 1, 1).alias("ticker"))
-    return news.match_symbols(rows, symbols).select("o_orderkey", "symbol_id")
+    """For each printed stock code the first company whose ticker contains it, in any case."""
+    ranked = table(spark, d, "companies").select(F.row_number().over(Window.orderBy("ticker")).alias("id"), F.col("ticker").alias("symbol"))
+    rows = table(spark, d, "prices").select("price_id", scalars.trimmed(F.col("Stock Code")).alias("ticker"))
+    return news.match_symbols(rows, ranked).select("price_id", "symbol_id")
 
 
 @query
@@ -277,20 +309,22 @@ def price_validity(spark, d):
     return p.select("ticker", "day", ok.alias("ok"))
 
 
+def _checked(spark, d):
+    return validate.with_errors(nested.record_json(table(spark, d, "extractions")), F.col("record"), table(spark, d, "companies"))
+
+
 @query
 def prediction_validity_errors(spark, d):
-    """How often each kind of error occurs in each extraction."""
-    rows = table(spark, d, "extractions").where("prediction is not null")
-    checked = validate.with_errors(rows, F.col("prediction"), table(spark, d, "companies"))
-    count = lambda prefix: F.size(F.filter("errors", lambda x: x.startswith(prefix))).alias("n_" + prefix.split()[1].rstrip(":"))
-    return checked.select("extraction_id", count("invalid event_type"), count("invalid ticker"), count("invalid direction"), count("invalid impact_type"), count("invalid confidence"), F.size(F.filter("errors", lambda x: x.startswith("in both"))).alias("n_both"))
+    """P8, P8a-P8g: how often each kind of error occurs in each extraction, replies as text included."""
+    count = lambda prefix, name: F.size(F.filter("errors", lambda x: x.startswith(prefix))).alias(f"n_{name}")
+    kinds = {"prediction is": "no_object", "invalid event_type": "event_type", "no list": "no_list", "invalid ticker": "ticker", "invalid direction": "direction", "invalid impact_type": "impact_type", "invalid confidence": "confidence", "in both": "both"}
+    return _checked(spark, d).select("extraction_id", *[count(p, n) for p, n in kinds.items()])
 
 
 @query
 def valid_invalid_split(spark, d):
     """Numbers of valid and invalid predictions."""
-    checked = validate.with_errors(table(spark, d, "extractions").where("prediction is not null"), F.col("prediction"), table(spark, d, "companies"))
-    return checked.agg(F.count_if(F.size("errors") == 0).alias("n_valid"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
+    return _checked(spark, d).agg(F.count_if(F.size("errors") == 0).alias("n_valid"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
 
 
 @query
@@ -315,10 +349,12 @@ def price_numbers(spark, d):
 
 @query
 def ticker_lookup(spark, d):
-    """Companies found by lower-cased bare name among the partners named in relationships."""
-    names = table(spark, d, "relationships").select(F.col("ticker_2").alias("name")).distinct()
-    known = table(spark, d, "companies").select("ticker", F.lower("ticker").alias("k"))
-    return names.join(known, F.lower("name") == F.col("k")).select("name", "ticker")
+    """Securities found by their lower-cased name without the share class; partners that are no company get none."""
+    companies = table(spark, d, "companies")
+    named = companies.select(F.concat(F.upper("name"), F.lit("  Ord 5.00")).alias("security")).unionByName(table(spark, d, "relationships").select(F.col("ticker_2").alias("security")))
+    bare = lambda c: F.lower(scalars.strip_share_suffix(c))
+    known = companies.select("ticker", bare(F.col("name")).alias("k"))
+    return named.distinct().join(known, bare(F.col("security")) == F.col("k"), "left").select("security", "ticker")
 
 
 @query
@@ -346,9 +382,85 @@ def event_props_json(spark, d):
 
 @query
 def reply_json(spark, d):
-    """replies from which a JSON object can be read."""
-    v = scalars.parse_reply(F.col("raw_reply"))
-    return table(spark, d, "extractions").where("raw_reply is not null").select("extraction_id", (F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")).alias("is_object"))
+    """replies from which a JSON object can be read once the fence around them is gone."""
+    kind = F.coalesce(F.schema_of_variant(scalars.parse_reply(F.col("raw_reply"))), F.lit(""))
+    return table(spark, d, "extractions").where("raw_reply is not null").select("extraction_id", kind.startswith("OBJECT").alias("is_object"))
+
+
+@query
+def published_calendar(spark, d):
+    """ISO stamps as the calendar time they show, the offset dropped; others at the fallback."""
+    t = scalars.published_local(F.col("published_at"), F.lit("1970-01-01").cast("timestamp"))
+    return table(spark, d, "news_articles").select("id", F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query
+def api_articles(spark, d):
+    """The articles of stored replies of a news service, of which some report an error."""
+    a = table(spark, d, "news_articles")
+    article = F.struct("title", "description", "content", "url", F.col("published_at").alias("publishedAt"), F.struct(F.col("source_name").alias("name")).alias("source"))
+    path = new_path(spark, "replies")
+    a.select(F.to_json(F.struct(F.when(F.col("id") % 7 == 0, "error").otherwise("ok").alias("status"), F.array(article).alias("articles"))).alias("value")).write.text(path)
+    return articles.api_articles(spark, path, "key")
+
+
+@query
+def graph_companies(spark, d):
+    """Companies read from a knowledge graph's JSON and added where the stored ones lack them."""
+    companies = table(spark, d, "companies")
+    path = new_path(spark, "graph")
+    companies.select(F.to_json(F.struct(F.array(F.struct("ticker", "name", "sector")).alias("companies"))).alias("value")).write.text(path)
+    stored = companies.where("ticker < 'M'").select("ticker", "name", "sector")
+    return news.insert_new(stored, articles.graph_companies(spark, path), "ticker", [F.col("name")])
+
+
+@query
+def file_name_tickers(spark, d):
+    """Tickers of the tables that are named after a security."""
+    named = table(spark, d, "companies").select(F.concat(scalars.safe_file_name(F.col("name")), F.lit(" Ord 5_00")).alias("file_stem"))
+    return articles.file_tickers(named.unionByName(named.select(F.lit("No such firm Ord 1_00").alias("file_stem")).distinct()), table(spark, d, "companies"))
+
+
+@query
+def generated_prices(spark, d):
+    """Generated prices of every company; whether all are valid and in range, as their values are random."""
+    p = articles.generated_prices(table(spark, d, "companies").select("ticker"), "2024-01-02")
+    fine = validate.price_row_valid(p["open"], p["high"], p["low"], p["close"], p["volume"]) & F.col("open").between(10, 150) & F.col("volume").between(1000, 500000)
+    return p.select("ticker", "day", fine.alias("fine"), (F.abs(F.col("high") / F.col("open") - 1.05) < 1e-9).alias("high_ok"))
+
+
+@query
+def labeled_rows_with_key(spark, d):
+    """Of JSON lines those that have the key, be its value null."""
+    path = new_path(spark, "lines")
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id"))).otherwise(F.to_json(F.struct("event_id", F.when(F.col("event_id") % 3 == 1, "UP").alias("predicted_direction")), {"ignoreNullFields": "false"}))
+    e.select(line.alias("value")).write.text(path)
+    rows = files.having_key(files.json_lines(spark, path), "predicted_direction")
+    return rows.select(F.try_variant_get("value", "$.event_id", "long").alias("event_id"), F.try_variant_get("value", "$.predicted_direction", "string").alias("direction"))
+
+
+@query
+def security_cells(spark, d):
+    """Price list rows that name ordinary shares; those with an ISIN hold their values one cell further on."""
+    c = table(spark, d, "companies")
+    isin = F.length("ticker") % 2 == 0
+    name = F.concat("name", F.when(F.length("name") % 3 == 0, F.lit(" Pref 4")).otherwise(F.lit(" Ord 5.00 ")))
+    vals = [F.concat(F.lit(f"v{i}-"), "ticker") for i in range(5)]
+    shifted = [F.when(isin, F.lit("KE0000000001")).otherwise(vals[0]), *[F.when(isin, vals[i]).otherwise(vals[i + 1] if i < 4 else F.lit(None)) for i in range(5)]]
+    cells = c.select(F.lit("02-January-2024").alias("file_stem"), F.lit(0).alias("row_no"), name.alias("c0"), *[v.alias(f"c{i + 1}") for i, v in enumerate(shifted)])
+    return files.security_rows(cells).select("security", scalars.strip_share_suffix(F.col("security")).alias("bare"), "shares", "low")
+
+
+@query
+def unwrapped_predictions(spark, d):
+    """Predictions of JSON lines, wrapped or not; null ones are dropped."""
+    path = new_path(spark, "lines")
+    rows = table(spark, d, "extractions").select("extraction_id", F.to_json("prediction").alias("r"))
+    wrapped = F.concat(F.lit('{"id": 1, "prediction": '), F.coalesce("r", F.lit("null")), F.lit("}"))
+    rows.select(F.when(F.col("extraction_id") % 2 == 0, wrapped).otherwise(F.col("r")).alias("value")).where("value is not null").write.text(path)
+    kept = files.unwrap_predictions(files.json_lines(spark, path))
+    return kept.select(F.try_variant_get("prediction", "$.event_type", "string").alias("event_type"), F.try_variant_get("prediction", "$.article_summary", "string").alias("article_summary"))
 
 
 @query
@@ -372,42 +484,57 @@ def price_csv_roundtrip(spark, d):
 
 @query
 def date_spine_missing(spark, d):
-    """The days of a year on which nothing was shipped."""
-    shipped = table(spark, d, "lineitem").select(F.concat(F.date_format("l_shipdate", "dd-MMMM-yyyy"), F.lit(".xls")).alias("file_name")).distinct()
-    return files.missing_files(files.date_spine(spark, "1994-12-01", "1995-03-31"), shipped)
+    """The days between the first and the last order on which nothing was ordered."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    span = orders.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    there = orders.select(F.concat(F.date_format("day", "dd-MMMM-yyyy"), F.lit(".xls")).alias("file_name")).distinct()
+    return files.missing_files(files.date_spine(spark, str(span["a"] or "1970-01-02"), str(span["b"] or "1970-01-01")), there)
+
+
+def _events(spark, d):
+    return streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet")
 
 
 @query
 def stream_dedup(spark, d):
-    """Users of the event stream, each once."""
-    stream = streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet").select("user_id", "event_type")
-    name = "dedup_" + new_path(spark, "x")[-12:]
-    streams.run_available(streams.deduplicated(stream, ["user_id", "event_type"]), name, new_path(spark, "stream"))
-    return spark.table(name)
+    """Users of the event stream, each once."""
+    stream = streams.deduplicated(_events(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
+    return streams.run_available(stream, new_path(spark, "dedup"), new_path(spark, "stream"))
 
 
 @query
 def stream_daily_window(spark, d):
-    """Daily means by event type, of the windows the watermark has closed."""
-    stream = streams.file_queue(spark, d, table(spark, d, "events").schema, "events.parquet")
-    name = "daily_" + new_path(spark, "x")[-12:]
-    streams.run_available(streams.daily_means(stream, "event_type", "ts", "value"), name, new_path(spark, "stream"))
-    last = table(spark, d, "events").agg(F.max("ts")).scalar()
-    closed = spark.table(name).where(F.date_add("day", 2) <= F.to_date(last))
-    return _rounded(closed.select("event_type", "day", "mean", "n"), "mean")
+    """Daily means by event type, of all windows."""
+    stream = streams.daily_means(_events(spark, d), "event_type", "ts", "value")
+    return _rounded(streams.run_available(stream, new_path(spark, "daily"), new_path(spark, "stream"), "update", ["event_type", "day"]), "mean")
+
+
+@query
+def stream_chained_alerts(spark, d):
+    """Each batch is scored and stored, and alerts are made of what was stored."""
+    scored, alerts = new_path(spark, "scored"), new_path(spark, "alerts")
+    steps = [(lambda b: b.select("event_id", (F.col("value") / 100).alias("score")), scored), (lambda b: b.where("score >= 0.7").select("event_id", F.round("score", 6).alias("score")), alerts)]
+    streams.chained(_events(spark, d), steps, new_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(alerts).drop("batch")
 
 
 @query
 def gbt_predictions(spark, d):
-    """Each ticker's probability of a rise from its last features."""
-    frame = materialize(features.feature_frame(_series(spark, d), roles.sentiment(spark, d), START, END), "features")
-    fitted, _ = model.train(frame)
-    return model.predict_latest(fitted, frame)
+    """Each ticker's model trained, stored and loaded, and its probability of a rise from its last features."""
+    frame, path = materialize(_frame(spark, d), "features"), new_path(spark, "models")
+    model.save(model.train(frame), path)
+    return model.predict_latest(model.load(spark, path), frame)
+
+
+@query
+def gbt_accuracy(spark, d):
+    """The share of each ticker's held-out days its model is right on."""
+    return model.train(materialize(_frame(spark, d), "features")).select("ticker", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query
 def synthetic_metrics(spark, d):
-    """Metrics of generated labelled rows."""
+    """Metrics of generated labelled rows."""
     return metrics.by_confidence(files.synthetic_predictions(spark))
 
 

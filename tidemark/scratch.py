@@ -1,8 +1,9 @@
 """Intermediate tables in the folder all executors share.
 
 A written table cuts the lineage, survives the loss of executors and is computed once, whereas ``checkpoint()``
-would run its plan a second time. The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-(tests, local runs) a folder of our own is made.
+would run its plan a second time. The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset in a local
+run, as in tests, a folder of our own is made. What an application wrote is deleted when its driver ends, so that the
+cluster's folder does not fill up; results that must last are written elsewhere by whoever asked for them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)
@@ -29,8 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the application's part of the shared folder."""
+    root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_clear, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    try:
+        remove(spark, root)
+    except Exception:  # noqa: BLE001 - the session may have ended before; nothing depends on it
+        return
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

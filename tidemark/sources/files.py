@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS = [f"c{i}" for i in range(7)]
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
 def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -42,10 +42,12 @@ def read_workbook(raw: bytes) -> list[list[str | None]]:
             shared = []
             if "xl/sharedStrings.xml" in names:
                 shared = ["".join(t.text or "" for t in s.iter(f"{{{_NS['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-            sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
-            at = sheets.index("Sheet1") if "Sheet1" in sheets else 0
+            sheets = {s.get("name"): s.get(f"{{{_NS['r']}}}id") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")}
+            wanted = sheets["Sheet1"] if "Sheet1" in sheets else next(iter(sheets.values()))
+            parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
+            part = parts.get(wanted) or f"worksheets/sheet{list(sheets.values()).index(wanted) + 1}.xml"
             rows = []
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{at + 1}.xml")).iter(f"{{{_NS['m']}}}row"):
+            for row in ElementTree.fromstring(z.read(part.removeprefix("/") if part.startswith("/") else f"xl/{part}")).iter(f"{{{_NS['m']}}}row"):
                 cells: list[str | None] = []
                 for c in row.findall("m:c", _NS):
                     letters = re.match("[A-Z]+", c.get("r") or "")
@@ -56,13 +58,15 @@ def read_workbook(raw: bytes) -> list[list[str | None]]:
                     cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
                 rows.append(cells)
             return rows
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError):
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError, StopIteration):
         return []
 
 
-def workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_stem, row_no, c0..c6): the cells of every workbook of a folder; the first row of a sheet is its header."""
-    schema = "file_stem string, row_no int, " + ", ".join(f"{c} string" for c in CELLS)
+def workbooks(spark: SparkSession, folder: str, width: int = len(CELLS)) -> DataFrame:
+    """(file_stem, row_no, c0, c1, ...): the first ``width`` cells of each row of every workbook of a folder; the first row
+    of a sheet is its header. A price list has no more than seven that count."""
+    cells = [f"c{i}" for i in range(width)]
+    schema = "file_stem string, row_no int, " + ", ".join(f"{c} string" for c in cells)
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls*").load(folder).select("path", "content")
     except AnalysisException:
@@ -72,8 +76,8 @@ def workbooks(spark: SparkSession, folder: str) -> DataFrame:
         for part in it:
             for path, content in zip(part["path"], part["content"], strict=True):
                 stem = re.sub(r"\.xlsx?m?$", "", path.rpartition("/")[2])
-                rows = [(stem, i, *(r + [None] * 7)[:7]) for i, r in enumerate(read_workbook(content)[1:])]
-                yield pd.DataFrame(rows, columns=["file_stem", "row_no", *CELLS])
+                rows = [(stem, i, *(r + [None] * width)[:width]) for i, r in enumerate(read_workbook(content)[1:])]
+                yield pd.DataFrame(rows, columns=["file_stem", "row_no", *cells])
 
     return files.mapInPandas(parse, schema)
 
@@ -105,6 +109,11 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("value")).where("value is not null")
 
 
+def having_key(lines: DataFrame, key: str) -> DataFrame:
+    """The lines that are an object with the key, be its value null."""
+    return lines.where(F.coalesce(F.array_contains(F.json_object_keys(F.to_json("value")), key), F.lit(False)))
+
+
 def latest_file(spark: SparkSession, folder: str, pattern: str = "news_*.jsonl") -> str | None:
     """The file last modified, ties by name; None if there is none."""
     try:

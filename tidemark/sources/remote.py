@@ -19,7 +19,11 @@ from tidemark.functions.scalars import article_text
 MIN_CHARS = 50
 
 
-def with_retries(call: Callable[[str], str | None], attempts: int = 3, pause: float = 0.0, permanent: tuple[type[Exception], ...] = ()) -> Callable[[str], str | None]:
+class Missing(Exception):
+    """What was asked for is not there (a reply with status 404); asking again is no use."""
+
+
+def with_retries(call: Callable[[str], str | None], attempts: int = 3, pause: float = 0.0, permanent: tuple[type[Exception], ...] = (Missing,)) -> Callable[[str], str | None]:
     """``call``, tried up to ``attempts`` times with doubling pauses; None once they are used up or on a permanent failure."""
 
     def tried(request: str) -> str | None:
