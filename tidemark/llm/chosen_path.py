@@ -29,6 +29,7 @@ FUNCTIONS = 64
 TREES = 7
 SMALL = 100.0  # expected records of a node that is compared exhaustively
 FREQUENT = 0.001  # share of records from which a word's frequency is kept; at most (words a record) / FREQUENT words
+HELD = 2_000_000  # counts a worker holds before it passes them on; only saves rows
 MAX_DEPTH = 16
 SKETCH_SLACK = 3.0  # standard deviations below the expected sketch agreement that still pass to the exact check
 BROADCAST_ROWS = 1_000_000  # ids below this many are broadcast to the text scan (8 MB), above they are joined by shuffle
@@ -36,10 +37,20 @@ BROADCAST_ROWS = 1_000_000  # ids below this many are broadcast to the text scan
 
 def fingerprints(texts: DataFrame) -> DataFrame:
     """One pass over (id, text): rows of kind 0 hold id, word-set hash, word count and least words; rows of kind 1 hold
-    a word frequent in an Arrow batch and its count there."""
+    a word and its count in a part of the records; every word is counted, wherever batches begin."""
     functions = multipliers(FUNCTIONS, 11)
 
+    def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(np.concatenate(words), return_inverse=True)
+        return found, np.bincount(where, np.concatenate(counts)).astype(np.int32)
+
+    def counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        m = len(words)
+        none = pa.nulls(m, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(words), none, none, pa.array(counts), pa.nulls(m, pa.binary())], names=["kind", "id", "h1", "h2", "n", "least"])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for batch in it:
             ids = np.asarray(batch.column(0))
             hashes, sizes = word_sets(batch.column(1).to_pylist())
@@ -55,11 +66,16 @@ def fingerprints(texts: DataFrame) -> DataFrame:
             width = FUNCTIONS * 4
             blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(least))])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(ids), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sizes.astype(np.int32)), blob], names=["kind", "id", "h1", "h2", "n", "least"])
-            words, counts = np.unique((hashes >> np.uint64(32)).astype(np.int64), return_counts=True)
-            often = counts >= max(2, FREQUENT / 2 * n)
-            m = int(often.sum())
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(words[often]), none, none, pa.array(counts[often].astype(np.int32)), pa.nulls(m, pa.binary())], names=["kind", "id", "h1", "h2", "n", "least"])
+            for part, own in zip(held, np.unique((hashes >> np.uint64(32)).astype(np.int64), return_counts=True), strict=True):
+                part.append(own)
+            if sum(map(len, held[0])) > HELD:
+                words, counts = summed(*held)
+                held = ([words], [counts])
+                if len(words) > HELD // 2:
+                    yield counted(words, counts)
+                    held = ([], [])
+        if held[0]:
+            yield counted(*summed(*held))
 
     return texts.mapInArrow(batches, "kind byte, id long, h1 long, h2 long, n int, least binary")
 
