@@ -17,6 +17,7 @@ EVENT_TYPES = ("earnings", "regulation", "product_launch", "disaster", "merger_a
 
 
 GROUPS = ("directly_affected", "indirectly_affected")
+# Fixed values, in the code below: the wording of the messages, by which callers tell the errors apart.
 _NUMBERS = r"^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
