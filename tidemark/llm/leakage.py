@@ -73,10 +73,11 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     return documents.select(F.col(id_col).cast("long"), text).mapInArrow(segments, INDEX)
 
 
-def stored_index(spark: SparkSession, documents: DataFrame, name: str) -> DataFrame:
-    """The index of the documents, built when first asked for under ``name`` in this application and then read."""
+def stored_index(spark: SparkSession, documents: DataFrame, name: str, anew: bool = False) -> DataFrame:
+    """The index of the documents, built when first asked for under ``name`` in this application, or ``anew`` as the
+    documents may have changed, and then read."""
     key = spark.sparkContext.applicationId, name
-    if key not in _INDEXES:
+    if anew or key not in _INDEXES:
         _INDEXES[key] = materialize(build_index(documents), "index")
     return _INDEXES[key]
 

@@ -6,7 +6,8 @@ packing patterns, not packs. Texts are then joined to the patterns by their rank
 the driver is bounded by the capacity and never by the number of texts.
 
 A text above the capacity is cut into full pieces and a rest; every other text stays whole. Ranks within a size come from
-salted ranks and the offsets of the salts, so a size with a third of all texts is no single task.
+salted ranks and the offsets of the salts, as many as a size has texts for, so a size with a third of all texts is no
+single task.
 
 Defined results: an empty text is its end token. A null text is no text and is not placed. Repeated texts are placed
 each. A capacity below 1 raises ValueError.
@@ -19,7 +20,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALT_ROWS = 100_000  # texts of one size that are ranked in a task, about
 BROADCAST_SLOTS = 500_000  # slot rows below this many (20 MB) are broadcast to the items, above they are joined by shuffle
 
 
@@ -104,9 +105,11 @@ def pack(documents: DataFrame, capacity: int, id_col: str = "doc_id", text: str
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
     spark = documents.sparkSession
-    items = pieces(documents, capacity, id_col, text).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)))
+    items = pieces(documents, capacity, id_col, text)
+    histogram = [(r[0], r[1]) for r in items.groupBy("n_tokens").agg(F.count("*")).collect()]  # at most ``capacity`` rows
+    salts = spark.createDataFrame([(size, 1 + c // SALT_ROWS) for size, c in histogram], "n_tokens long, salts long")
+    items = items.join(F.broadcast(salts), "n_tokens").withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), "salts")).drop("salts")
     counts = items.groupBy("n_tokens", "salt").agg(F.count("*").alias("c"))
-    histogram = [(r[0], r[1]) for r in counts.groupBy("n_tokens").agg(F.sum("c")).collect()]  # at most ``capacity`` rows
     slots = slots_of(pack_histogram(histogram, capacity))
     table = spark.createDataFrame(slots, "size long, lo long, hi long, times long, base long")
     table = F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table
@@ -117,9 +120,3 @@ def pack(documents: DataFrame, capacity: int, id_col: str = "doc_id", text: str
     placed = ranked.join(table, (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     container = F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("times")).cast("long")
     return placed.select(container.alias("container"), id_col, "piece", "first_token", "n_tokens")
-
-
-def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """(containers, tokens, unused_share) of an arrangement."""
-    n, used = F.countDistinct("container"), F.sum("n_tokens")
-    return packed.agg(n.alias("containers"), used.alias("tokens"), (1 - used / (n * F.lit(capacity))).alias("unused_share"))

@@ -50,13 +50,13 @@ def _pack(pack_name: str) -> Query:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and evaluation item that share at least 13 consecutive words."""
-    index = leakage.stored_index(spark, table(spark, sf_dir, "documents"), sf_dir)
+    """Every document and evaluation item that share at least 13 consecutive words; the index is made anew and stored."""
+    index = leakage.stored_index(spark, table(spark, sf_dir, "documents"), sf_dir, anew=True)
     return leakage.phrase_matches(index, table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold most of an item's rarest words close together."""
+    """Documents that hold most of an item's rarest words close together; the stored index is read if there is one."""
     index = leakage.stored_index(spark, table(spark, sf_dir, "documents"), sf_dir)
     return leakage.proximity_matches(index, table(spark, sf_dir, "eval_items"))
 
