@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import encoding_repair, leakage, packing, truncation
@@ -72,6 +74,22 @@ def test_copy_in_the_middle_proves_the_cut(spark):
     assert (6, 1) in [(r["id"], r["verdict"]) for r in copies_judged(values)]
 
 
+def test_bit_tables_grow_with_their_keys(spark, monkeypatch):
+    """Few keys are taken for asked ones that are not, however many are asked for."""
+    monkeypatch.setattr(truncation, "TABLE_BITS", 15)
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 60_000)
+    table = truncation.bit_table(spark.createDataFrame(pd.DataFrame({"k": keys[:30_000]})))
+    asked = truncation._asked(table, keys.view(np.uint64))
+    assert asked[:30_000].all() and asked[30_000:].mean() < 1 / 16
+
+
+def test_texts_are_compared_at_the_same_anchor_only():
+    """Windows a word apart are alike but have no band in common; equal ones have all."""
+    shingles = truncation.shingles_of(np.random.default_rng(2).integers(1, 2**63, 60).astype(np.uint64))
+    one, other, same = truncation.window_bands(np.concatenate([shingles, shingles[:50]]), np.array([10, 11, 10 + len(shingles)]), np.array([42, 43, 42 + len(shingles)]))
+    assert not set(one) & set(other) and (one == same).all()
+
+
 def test_statistics_do_not_depend_on_batches(spark):
     rng = random.Random(12)
     rows = []
