@@ -243,3 +243,12 @@ def test_garbled_words_of_known_letter_runs_are_tried(spark):
     df = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["restored"] for r in encoding_repair.garbled_documents(df).collect()}
     assert got == {300: "“Nobody sold the print-run” today."}
+
+
+def test_the_models_are_fitted_on_all_labelled_rows(spark):
+    """Letters in three of 900 texts each are all in the alphabet, wherever the texts that have them stand."""
+    rare = "āēīūģķļņŗōĝĥ"
+    rows = [(i, f"{FRENCH[i % 3]} Note {i} {f'de la{rare[i // 3]}me' if i < 3 * len(rare) else 'du jour'}. {FRENCH[(i + 1) % 3]}", "fr") for i in range(900)]
+    dictionaries, alphabets = encoding_repair.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(rare) <= set(alphabets["fr"]) and len(dictionaries["fr"]) <= encoding_repair.DICT_BYTES
+    assert all(f"la{ch}me" in dictionaries["fr"].decode(errors="ignore") for ch in rare)

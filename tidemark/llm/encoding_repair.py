@@ -9,10 +9,11 @@ themselves. A replacement character marks a loss that cannot be undone: such a t
 A chain has up to ``MAX_STEPS`` steps: wrong readings of UTF-8, and at most one swap of two one-byte encodings before,
 between or after them. What the chains make of a word is worked out once for each distinct word a worker meets. A chain
 is no candidate if it leaves a letter run in two scripts, a capital after a small letter, or the words it changes in
-characters that no single language's sample uses; for rightly decoded segments that leaves nothing to compress in most cases.
+characters that no single language uses; for rightly decoded segments that leaves nothing to compress in most cases.
 
-The dictionaries and alphabets are fitted on a sample of at most ``SAMPLE_ROWS`` labelled rows a language, twice: the
-second time without the rows that the first fit finds garbled. Everything is then applied to all rows and whole texts.
+The dictionaries and alphabets are fitted on all labelled rows, twice: the second time without the rows that the first
+fit finds garbled. Characters, words and phrases are counted in full, and the most common ones fill a dictionary of
+``DICT_BYTES``. Everything is then applied to all rows and whole texts.
 
 Defined results: null and empty texts are never garbled and come back as they are; repeated rows are judged alike; with no
 labelled rows to fit on, only replacement characters are found.
@@ -24,17 +25,21 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 400
+from tidemark.scratch import materialize
+
 DICT_BYTES = 32_768
 FIRST_SHARE = 0.04  # share of a language's texts from which a character is taken for its own in the first fit
+LEAST_SHARE = 0.002  # the same in the second fit, and, on the mean over languages, for what an undone reading may use
 LEVEL = 19  # the optimal parse; a faster one misses matches and makes rightly decoded words look longer than they are
+COMMON_WORDS = 2000  # words and phrases of a kind that a dictionary is filled from
+HELD = 500_000  # counts a worker holds before it passes them on; only saves rows
 MAX_STEPS = 3
 UTF8_COST, SWAP_COST = 0.5, 2  # bytes of chain description a step
 Step = tuple[str, str]  # read as, truly
@@ -47,6 +52,7 @@ _SPLIT = re.compile(r"\n+|(?<=[.!?])\s+")
 _WORDS = re.compile(r"[ \t\r\n]+")
 _TOKENS = re.compile(r"([ \t\r\n]+)")
 _SPACE = re.compile(r"(?<![^\x00-\x7f])\xa0+(?![^\x00-\x7f\xa0])")  # no-break spaces between plain characters are rightly there
+_SUSPECT = r"[^\x00-\x7F]|&"  # for the JVM: what any garbled text has
 _FOREIGN = re.compile(r"[^\x00-\x7f]")
 _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9A-Fa-f]{2,5}|[A-Za-z]{2,8});")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -336,7 +342,7 @@ def repair(text: str | None, describer: Describer) -> tuple[bool, bool, str | No
 
 
 def _restorable(text: str, alphabet: set[str]) -> bool:
-    """Whether a wrong reading of UTF-8 can be undone in some word and gives letters that the sample's texts use."""
+    """Whether a wrong reading of UTF-8 can be undone in some word and gives letters that labelled texts use."""
     for w in set(_WORDS.split(html.unescape(text))):
         if not w.isascii():
             for k in _set_bits(_utf8_steps(w, False)[0] & (1 << len(_UTF8)) - 1):
@@ -352,46 +358,133 @@ def _telling_words(segment: str) -> list[str]:
     return [w for i, w in enumerate(words) if i in near]
 
 
-def _describe(texts: dict[str, list[str]], share: float) -> tuple[dict[str, bytes], dict[str, str]]:
-    """Dictionaries, and alphabets of the foreign characters in at least ``share`` of a language's texts and in two."""
-    dictionaries, alphabets = {}, {}
-    for name, own in sorted(texts.items()):
-        if len(own) < 8:
-            continue
-        shares = Counter(ch for t in own for ch in set(t) if ch > "\x7f")
-        core = {ch for ch, n in shares.items() if n >= max(2, share * len(own))}
-        parts = [s for t in own for s in segments(t) if all(ch < "\x80" or ch in core for ch in s)]
-        samples = [s.encode() for s in parts if len(s) > 20]
+TEXTS, CHARS, PHRASES = range(3)  # kinds of counts
+Counted = Callable[[str], Iterator[tuple[int, str]]]
+
+
+def _counts(rows: DataFrame, counted: Callable[[], Counted]) -> DataFrame:
+    """(lang, kind, what, n) over all rows (lang, text): what ``counted`` gives for each text, summed up in each task first."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen = counted(), Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            keys = list(zip(*seen, strict=True)) or [[]] * 3
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*keys, list(seen.values())), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "what", "n"])
+            seen.clear()
+            return out
+
+        for part in it:
+            for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                seen.update((lang, *x) for x in of(text))
+            if len(seen) > HELD:
+                yield passed_on()
+        yield passed_on()
+
+    counts = rows.select("lang", "text").mapInArrow(batches, "lang string, kind int, what string, n long")
+    return counts.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
+
+
+def _foreign(text: str) -> Iterator[tuple[int, str]]:
+    """The foreign characters of a text."""
+    return ((CHARS, ch) for ch in set(text) if ch > "\x7f")
+
+
+def _evidence(text: str) -> Iterator[tuple[int, str]]:
+    """What a rightly decoded text tells: itself, its foreign characters, and the telling words of each segment."""
+    yield TEXTS, ""
+    yield from _foreign(text)
+    for s in segments(text):
+        if not s.isascii():
+            yield PHRASES, " ".join(_telling_words(s))
+
+
+def _most_common(counts: DataFrame) -> dict[str, list[str]]:
+    """The ``COMMON_WORDS`` most common of each language of (lang, w, n), the most common first."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    rows = counts.groupBy("lang", "w").agg(F.sum("n").alias("n")).withColumn("r", rank).where(F.col("r") <= COMMON_WORDS).orderBy("lang", "r").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["lang"], []).append(r["w"])
+    return out
+
+
+def _describe(evidence: DataFrame, plain: dict[str, int], plain_words: dict[str, list[str]], share: float) -> tuple[dict[str, bytes], dict[str, str]]:
+    """Dictionaries, and alphabets of the foreign characters in at least ``share`` of a language's texts and in two.
+    ``plain`` has the texts of each language without such characters."""
+    texts, chars = Counter(plain), []
+    for r in evidence.where(F.col("kind") != PHRASES).collect():
+        if r["kind"] == TEXTS:
+            texts[r["lang"]] += r["n"]
+        else:
+            chars.append(r)
+    core: dict[str, set[str]] = {name: set() for name, n in sorted(texts.items()) if n >= 8}
+    for r in chars:
+        if r["lang"] in core and r["n"] >= max(2, share * texts[r["lang"]]):
+            core[r["lang"]].add(r["what"])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in it:
+            seen: Counter[tuple[str, str]] = Counter()
+            for lang, phrase, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                own = core.get(lang)
+                if own is not None and all(ch < "\x80" or ch in own for ch in phrase):
+                    seen[lang, phrase] += n
+                    for w in phrase.split(" "):
+                        if not w.isascii():
+                            seen[lang, w] += n
+            keys = list(zip(*seen, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "w", "n"])
+
+    telling = _most_common(evidence.where(F.col("kind") == PHRASES).select("lang", "what", "n").mapInArrow(batches, "lang string, w string, n long"))
+    dictionaries = {}
+    for name in core:
         # the words that tell encodings apart come last, where a dictionary is cheapest to refer to
-        words = Counter(" ".join(_telling_words(s)) for s in parts)
-        words.update(w for s in parts for w in _WORDS.split(s) if _FOREIGN.search(w))
-        words.pop("", None)
-        common = " ".join(w for w, _ in reversed(words.most_common(2000))).encode()
-        dictionaries[name] = (b" ".join(samples)[: DICT_BYTES // 2] + b" " + common)[-DICT_BYTES:] or b" "
-        alphabets[name] = "".join(sorted(core))
-    return dictionaries, alphabets
+        own = [" ".join(reversed(words.get(name, []))).encode() for words in (plain_words, telling)]
+        dictionaries[name] = (own[0][-DICT_BYTES // 2 :] + b" " + own[1])[-DICT_BYTES:] or b" "
+    return dictionaries, {name: "".join(sorted(own)) for name, own in core.items()}
 
 
-def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, bytes], dict[str, str]]:
-    """Dictionaries and alphabets from at most ``sample_rows`` rows of each labelled language."""
+def fit(documents: DataFrame) -> tuple[dict[str, bytes], dict[str, str]]:
+    """Dictionaries and alphabets from all labelled rows. The driver sees counts of characters and the most common words."""
     lang = F.lower(F.trim("lang"))
-    labelled = documents.select(lang.alias("lang"), "text", F.xxhash64("doc_id").alias("h")).where(lang.rlike("^[a-z]{2,3}$") & (lang != "und") & (F.length("text") > 40))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    rows = labelled.withColumn("r", rank).where(F.col("r") <= sample_rows).select("lang", "text").orderBy("lang", "h").collect()
-    used = Counter(ch for _, text in rows for ch in set(text) if ch > "\x7f")
-    alphabet = {ch for ch, n in used.items() if n >= max(2, 0.002 * len(rows))}
-    texts: dict[str, list[str]] = {}
-    for name, text in rows:
-        if LOST not in text and not _restorable(text, alphabet):
-            texts.setdefault(name, []).append(html.unescape(text))
-    first = Describer(*_describe(texts, FIRST_SHARE))
-    clean = {name: [t for t in own if not repair(t, first)[0]] for name, own in texts.items()}
-    return _describe(clean, 0.0)
-
-
-def judge_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    labelled = documents.select(lang.alias("lang"), "text").where(lang.rlike("^[a-z]{2,3}$") & (lang != "und") & (F.length("text") > 40))
+    suspect = F.col("text").rlike(_SUSPECT)
+    rows, foreign = labelled.where(suspect), F.col("text").rlike(r"[^\x00-\x7F]")
+    sizes = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~suspect).alias("plain")).collect()}
+    plain = {name: r["plain"] for name, r in sizes.items()}
+    # plain words are right in garbled texts too
+    words = labelled.select("lang", F.explode(F.split("text", r"[ \t\r\n]+")).alias("w")).where(F.col("w").rlike(r"^[\x21-\x7E&&[^0-9]]{2,}$"))
+    plain_words = _most_common(words.groupBy("lang", "w").agg(F.count("*").alias("n")))
+    used, shares = Counter(), Counter()
+    for r in _counts(labelled.where(foreign), lambda: _foreign).collect():
+        used[r["what"]] += r["n"]
+        shares[r["what"]] += r["n"] / sizes[r["lang"]]["n"]
+    alphabet = {ch for ch, n in used.items() if n >= 2 and shares[ch] >= LEAST_SHARE * len(sizes)}
+
+    def right(model: tuple[dict[str, bytes], dict[str, str]] | None) -> Callable[[], Counted]:
+        """Evidence of the texts that no reading of UTF-8 can have led to and that the model, if any, leaves alone."""
+
+        def counted() -> Counted:
+            describer = Describer(*model) if model else None
+
+            def of(text: str) -> Iterator[tuple[int, str]]:
+                if LOST not in text and not _restorable(text, alphabet):
+                    text = html.unescape(text)
+                    if describer is None or not repair(text, describer)[0]:
+                        yield from _evidence(text)
+
+            return of
+
+        return counted
+
+    first = _describe(materialize(_counts(rows, right(None)), "evidence"), plain, plain_words, FIRST_SHARE)
+    return _describe(materialize(_counts(rows, right(first)), "evidence"), plain, plain_words, LEAST_SHARE)
+
+
+def judge_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, garbled, lost, restored) of every document with a foreign character or an escape; no other can be garbled."""
-    model = fit(documents, sample_rows)
+    model = fit(documents)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describer = Describer(*model)
@@ -402,10 +495,10 @@ def judge_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Dat
                 names=["doc_id", "garbled", "lost", "restored"],
             )
 
-    suspect = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]|&"))
+    suspect = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(_SUSPECT))
     return suspect.mapInArrow(batches, "doc_id long, garbled boolean, lost boolean, restored string")
 
 
-def garbled_documents(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def garbled_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, lost, restored) of the documents of which at least a part was decoded wrongly."""
-    return judge_documents(documents, sample_rows).where("garbled").select("doc_id", "lost", "restored")
+    return judge_documents(documents).where("garbled").select("doc_id", "lost", "restored")
