@@ -1,6 +1,7 @@
 """Truncation, packing, leakage and encoding repair on small texts."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -252,3 +253,31 @@ def test_the_models_are_fitted_on_all_labelled_rows(spark):
     dictionaries, alphabets = encoding_repair.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(rare) <= set(alphabets["fr"]) and len(dictionaries["fr"]) <= encoding_repair.DICT_BYTES
     assert all(f"la{ch}me" in dictionaries["fr"].decode(errors="ignore") for ch in rare)
+
+
+def test_words_are_counted_in_full_over_all_parts(spark):
+    """Numbers and marks are not passed on, and of the words only those frequent in one of the parts are summed, in full."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 12)) + f" {i}, 7% done." for i in range(20_000)]
+    values = spark.createDataFrame([(i, "content", t) for i, t in enumerate(texts)], "id long, field string, text string").repartition(2)
+    scanned = truncation.word_counts_and_ends(values).persist()
+    words = [r for r in scanned.where("w is not null").collect()]
+    assert all(not r["w"] or r["w"][0].isalpha() or r["w"][0] == "\0" for r in words)
+    assert sum(r["cut"] for r in words) < len(words) / 2
+    counts = Counter(w for t in texts for w in set(truncation.TOKEN.findall(t)) if w[0].isalpha())
+    least = truncation.FREQUENT * len(texts)
+    assert truncation.frequent_words(scanned) == {w: c / len(texts) for w, c in counts.items() if c >= least}
+    scanned.unpersist()
+
+
+def test_rare_words_have_the_kinds_of_their_classes():
+    known = {"the": 0.5, "of": 0.01, "The": 0.2, "Bank": 0.01, "bank": 0.02}
+    words = "the of The Bank Zub ZUB Z zub z 12 12% 3.5 ² ²% Ⅷ ⅷ ⅷa ª Éa éa _a May . , … Ⓐ 東京 the's Of I".split()
+    lexicon = truncation.Lexicon(known)
+    numbers = [lexicon[w] for w in words + words]
+    fine, coarse, stop, dots, upper, whole, hashes = (t[numbers] for t in lexicon.tables())
+    classes = [truncation.class_of(w, known) for w in words + words]
+    assert (fine == truncation.hash_words([c[0] for c in classes])).all() and (coarse == truncation.hash_words([c[1] for c in classes])).all()
+    assert [bool(u) for u in upper] == [not w[0].islower() for w in words + words]
+    assert [bool(h) for h in hashes] == [w[0].isalnum() for w in words + words]
+    assert [bool(x) for x in whole] == [c[0] not in ("x", "I") for c in classes]

@@ -145,14 +145,28 @@ class Lexicon(dict):
         self.clear()
         self.hashes, self.kind_of = array("Q"), array("i")
         self.kinds: dict[tuple, int] = {}
+        self.rare: dict[str, int] = {}  # the kinds of words that don't count by themselves, by what the word looks like
         self.made: tuple[int, tuple[np.ndarray, ...]] = (0, ())
 
     def __missing__(self, w: str) -> int:
-        fine, coarse = class_of(w, self.known)
-        key = (fine, coarse, w in _STOP, w == ".", not w[0].islower(), fine not in ("x", "I"))
+        c, look = w[0], ""
+        if w not in self.known and w not in CALENDAR:
+            if c.islower():
+                look = "x" if c.isalpha() else ""
+            elif c.isupper():
+                look = "I" if len(w) == 1 else "A" if w.isupper() else "N"
+            elif c.isdigit():
+                look = "0%" if w[-1] == "%" else "0"
+        kind = self.rare.get(look)
+        if kind is None:
+            fine, coarse = class_of(w, self.known)
+            key = (fine, coarse, w in _STOP, w == ".", not c.islower(), fine not in ("x", "I"))
+            kind = self.kinds.setdefault(key, len(self.kinds))
+            if look:
+                self.rare[look] = kind
         number = self[w] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(w.lower()) | 1 if w[0].isalnum() else 0)
-        self.kind_of.append(self.kinds.setdefault(key, len(self.kinds)))
+        self.hashes.append(xxhash.xxh3_64_intdigest(w.lower()) | 1 if c.isalnum() else 0)
+        self.kind_of.append(kind)
         return number
 
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -234,8 +248,9 @@ class Counts:
 
 def word_counts_and_ends(values: DataFrame) -> DataFrame:
     """One pass over (id, field, text). Rows with ``w``: a word, or "\\0" and the last words of a value without a stop, and
-    ``c``, the values that have it in a part of the rows; ``w`` of "" counts values. Rows with ``field``: an open value,
-    ``cut`` where a mark decides, with its last tokens and its last words."""
+    ``c``, the values that have it in a part of the rows; ``w`` of "" counts values, ``cut`` says whether so many of the
+    part's values have it that it would count by itself. Rows with ``field``: an open value, ``cut`` where a mark decides,
+    with its last tokens and its last words."""
     names = ["w", "c", "id", "field", "text", "cut", "closing"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
 
@@ -243,6 +258,12 @@ def word_counts_and_ends(values: DataFrame) -> DataFrame:
         n = max(map(len, columns))
         return pa.RecordBatch.from_arrays([pa.array(c, t) if c else pa.nulls(n, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+    def counted(seen: Counter[str]) -> pa.RecordBatch:
+        least = FREQUENT * seen[""] * (1 - 1e-9)
+        rows = [(w, c, c >= least) for w, c in seen.items() if not w or w[0].isalpha() or w[0] == "\0"]
+        words, counts, often = map(list, zip(*rows, strict=True))
+        return batch([words, counts, [], [], [], often, []])
+
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         find = TOKEN.findall
@@ -266,20 +287,23 @@ def word_counts_and_ends(values: DataFrame) -> DataFrame:
             if rows:
                 yield batch([[], [], *map(list, zip(*rows, strict=True))])
             if len(seen) > HELD:
-                yield batch([list(seen), list(seen.values()), [], [], [], [], []])
+                yield counted(seen)
                 seen.clear()
         if seen:
-            yield batch([list(seen), list(seen.values()), [], [], [], [], []])
+            yield counted(seen)
 
     return values.select("id", "field", "text").mapInArrow(scan, "w string, c long, id long, field string, text string, cut boolean, closing array<string>")
 
 
 def frequent_words(scanned: DataFrame) -> dict[str, float]:
     """Words in at least ``FREQUENT`` of the values, with their share. The last word of a value without a stop doesn't
-    count, it may be broken, unless the same last four words recur."""
-    counts = scanned.where("w is not null").groupBy("w").agg(F.sum("c").alias("c"))
-    rows = counts.where("w = ''").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    found = counts.where((F.col("w") != "") & (F.col("c") >= FREQUENT * rows) & F.col("w").rlike(r"^(?:\p{L}|\x00)")).collect()
+    count, it may be broken, unless the same last four words recur. A word that reaches a share of all values reaches it in
+    one of the parts, so only the counts of words that do so are summed."""
+    parts = scanned.where("w is not null").select("w", "c", F.col("cut").alias("often"))
+    counts = parts.join(F.broadcast(parts.where("often").select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.sum("c").alias("c"))
+    sums = counts.where(F.col("w").rlike(r"^(?:$|\p{L}|\x00)")).collect()
+    rows = next((r[1] for r in sums if r[0] == ""), 0)
+    found = [r for r in sums if r[0] != "" and r[1] >= FREQUENT * rows]
     known = {r[0]: r[1] / rows for r in found if r[0][0] != "\0"}
     for r in found:
         if r[0][0] == "\0" and r[1] >= 5:
