@@ -212,3 +212,28 @@ def test_extractions_match_prices_and_blank_tickers_do_not(spark):
         spark.createDataFrame([("ABC", "Abc Plc", "UTC")], "ticker string, name string, listing_tz string"),
     )
     assert [tuple(r) for r in got.collect()] == [(1, 11)]
+
+
+def test_large_batch_looks_through_the_history_once(spark, monkeypatch):
+    """A batch of several pieces reads the history's leaves once, adds one run, and rejects what a greedy search does; what
+    is too large to be broadcast is sifted."""
+    monkeypatch.setattr(hash_forest, "BROADCAST_ROWS", 0)
+    rows = articles(11)
+    df = spark.createDataFrame(rows, "id long, title string, url string, batch_no int")
+    forest = hash_forest.HashForest(spark, piece=10)
+    stored, asked = forest.stored, []
+    monkeypatch.setattr(forest, "stored", lambda kind, buckets: (asked.append(kind), stored(kind, buckets))[1])
+    got = [forest.add_batch(df.where("id < 150"))]
+    assert asked == [] and len(forest.runs) == 1
+    got.append(forest.add_batch(df.where("id >= 150")))
+    assert asked.count(hash_forest.LEAF) == 1
+    assert {tuple(r) for g in got for r in g.collect()} == greedy(rows)
+
+
+def test_sieve_lets_through_all_that_is_asked_for_and_little_else(spark):
+    forest = hash_forest.HashForest(spark)
+    rows = spark.range(0, 40_000).select((F.col("id") * 97 - 1_000_000).alias("key"))
+    keys = rows.where("key % 50 = 0")
+    found = forest.sifted(rows, keys)
+    assert keys.join(found, "key", "left_anti").isEmpty() and keys.count() <= found.count() < 8000
+    assert forest.sifted(rows, keys.limit(0)).isEmpty()
